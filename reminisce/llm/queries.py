@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reminisce.llm import media, mixing, secrets
+from reminisce.llm import media, mixing, neighbours, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +15,31 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "copies")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.grade(docs.select("doc_id", "text"), toxicity.fit(docs, _table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs.select("doc_id", "text"), quality.fit(docs, _table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(docs))
 
 
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op8_media": op8_media, "op10_secrets": op10_secrets}
+    return {"op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_neighbours": op7_neighbours, "op8_media": op8_media, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
