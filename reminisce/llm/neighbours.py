@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reminisce.llm.common import cut
+from reminisce.llm.samples import bounded
 
 #: Bytes of a code, and values of a byte.
 PARTS, CODES = 16, 256
@@ -90,7 +91,7 @@ def train(vectors: DataFrame, sample_rows: int = 20_000, max_lists: int = 1024,
     the number of vectors, up to max_lists.
     """
     n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()["embedding"].to_pylist()
+    sample = bounded(vectors, "vec_id", sample_rows).select("embedding").toArrow()["embedding"].to_pylist()
     if not sample:
         return None
     sizes = [len(x) for x in sample]

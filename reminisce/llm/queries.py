@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reminisce.llm import media, mixing, neighbours, quality, secrets, toxicity
+from reminisce.llm import licenses, linededup, media, mixing, neighbours, pieces, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.Pieces.load())
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "copies")
 
@@ -39,7 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_neighbours": op7_neighbours, "op8_media": op8_media, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+    return {"op1_line_dedup": op1_line_dedup, "op2_pieces": op2_pieces, "op3_licenses": op3_licenses, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_neighbours": op7_neighbours, "op8_media": op8_media, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:

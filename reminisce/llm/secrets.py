@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reminisce.llm.samples import bounded
+
 #: The patterns of the base scan, and the least length of what each must hold.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
@@ -71,14 +73,13 @@ def train(docs: DataFrame, sample_docs: int = 1000, generated: int = 2000, smoot
     The counts that reach the driver are SIZE x SIZE x 2 at most.
     """
     spark = docs.sparkSession
-    sample = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs)
+    sample = bounded(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "doc_id", sample_docs)
     spans = base_spans(F.col("text"))
     value = lambda x: x["v"]
     sample = sample.select("text", F.concat(*(F.transform(x, value) for x in spans.values())).alias("found"))
     labelled = sample.select(F.explode("found").alias("token"), F.lit(1).alias("random"))
     ordinary = sample.select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(f"({TOKEN}{{2,}})"), F.lit(1)), F.col("found"))).alias("token"), F.lit(0).alias("random")).filter(F.length("token") < 64)
     tokens = labelled.unionByName(_generated(spark, generated)).unionByName(ordinary)
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring("token", i, 1))
     pairs = tokens.filter(F.length("token") >= 2).select("random", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i")).select("random", F.instr(F.lit(ALPHABET), F.col("token").substr(F.col("i"), F.lit(1))).alias("a"), F.instr(F.lit(ALPHABET), F.col("token").substr(F.col("i") + 1, F.lit(1))).alias("b"))
     counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = []
