@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
 
@@ -71,3 +72,56 @@ def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     for i in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n - k + 1 + i]
     return mix(out)
+
+
+def by_key(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """fn(table) -> table for the rows of each key, which are brought together and streamed: a task holds one key's rows at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                change[1:] |= c[1:] != c[:-1]
+            first = tuple(c[0] for c in columns)
+            change[0] = last is not None and first != last
+            starts = [0, *np.flatnonzero(change[1:]) + 1, batch.num_rows]
+            for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+                if held and (i or change[0]):
+                    yield from fn(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(a, b - a))
+            last = tuple(c[-1] for c in columns)
+        if held:
+            yield from fn(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """node, root of an undirected graph's edges (a, b): root is the smallest node that is connected with it.
+
+    Large-star and small-star steps until nothing changes. Nodes are rows and never meet on the driver; a hub is
+    a key of joins that split, and only its minimum is aggregated.
+    """
+    edges = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    while True:
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b"), F.col("m"), "a")
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
+        small = cut(small, name)
+        # the fixed point is a star around each root: no node is both a member and a root, and none has two roots
+        moved = small.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(small, ["a", "b"], "left_anti").limit(1).count()
+        edges = small
+        if not moved:
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from reminisce.llm import licenses, linededup, media, mixing, neighbours, pieces, quality, secrets, toxicity
+from reminisce.llm import licenses, linededup, media, mixing, neighbours, ngramjoin, pieces, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "copies")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_id", "n_links", "n_texts")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.grade(docs.select("doc_id", "text"), toxicity.fit(docs, _table(spark, sf_dir, "labels"))).drop("text")
@@ -51,7 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op2_pieces": op2_pieces, "op3_licenses": op3_licenses, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_neighbours": op7_neighbours, "op8_media": op8_media, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+    return {"op1_line_dedup": op1_line_dedup, "op2_pieces": op2_pieces, "op3_licenses": op3_licenses, "op4_mixing": op4_mixing, "op5_ngram_join": op5_ngram_join, "op6_toxicity": op6_toxicity, "op7_neighbours": op7_neighbours, "op8_media": op8_media, "op9_quality": op9_quality, "op10_secrets": op10_secrets, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
