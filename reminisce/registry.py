@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from reminisce.plans import store_queries
+
+_FAMILIES = (store_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _FAMILIES for k, f in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _FAMILIES for k, s in m.oracle_sql().items()}
