@@ -56,6 +56,15 @@ def regex(df: DataFrame, pattern: str, limit: int | None = 50, scanned: int | No
     return out if limit is None else out.orderBy(F.desc(time), F.desc(key)).limit(limit)
 
 
+def _frequency(phrase: list[str]) -> Column:
+    """How often the terms in column _t hold a phrase of one term or more."""
+    if len(phrase) == 1:
+        return F.size(F.filter("_t", lambda x: x == phrase[0]))
+    n, wanted = len(phrase), F.array(*map(F.lit, phrase))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1)))
+    return F.size(F.filter(starts, lambda j: F.slice("_t", j, F.lit(n)) == wanted))
+
+
 def bm25(df: DataFrame, query: str, key: str = "message_id", text: str = "content", stem: bool = False) -> DataFrame:
     """df's rows that hold every phrase of the query, with rank: lower is better, as BM25 negated.
 
@@ -71,12 +80,7 @@ def bm25(df: DataFrame, query: str, key: str = "message_id", text: str = "conten
         words, split = porter_terms(F.col(text)), [[porter(w) for w in p] for p in split]
     t = df.withColumn("_t", words)
     for i, p in enumerate(split):
-        if len(p) == 1:
-            f = F.size(F.filter("_t", lambda x, p=p: x == p[0]))
-        else:
-            n = len(p)
-            f = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1))), lambda j, p=p, n=n: F.slice("_t", j, n) == F.array(*map(F.lit, p))))
-        t = t.withColumn(f"_f{i}", f)
+        t = t.withColumn(f"_f{i}", _frequency(p))
     t = t.withColumn("_n", F.size("_t")).drop("_t")
     total = t.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(split))))
     hits = t.filter(reduce(lambda a, b: a & b, [F.col(f"_f{i}") > 0 for i in range(len(split))])).join(F.broadcast(total))

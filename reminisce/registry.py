@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reminisce.plans import store_queries
+from reminisce.plans import search_queries, store_queries
 
-_FAMILIES = (store_queries,)
+_FAMILIES = (store_queries, search_queries)
 
 
 def queries() -> dict:
