@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a given model.
 
 Method: a lattice. Each distinct word's substrings of bounded length are looked up in the piece table, the hits are edges grouped
-by word, and a fold over the word's positions finds the path. For unigram models that is Viterbi: the path of the
-largest summed score. For BPE models the largest sum is not what the model's merges give, so an edge is allowed only
+by word, and the path through them is sought. For unigram models a Viterbi fold over positions
+finds the path of the largest summed score. For BPE models the largest sum is not what the model's merges give, so an edge is allowed only
 after the piece before it if merging both pieces' characters gives back those two; exactly one path is then left, and it
 is the one that the merges give.
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_SHORT = (2, 1)
 
 
 @dataclass
@@ -57,6 +57,22 @@ class Pieces:
         whole = [s for s in scores.values() if s > -1e8]
         return cls({names[i]: i for i in plain}, scores, raw, [by_byte[b] for b in range(256)] if len(by_byte) == 256 else [], model.unk_id(), all(s == int(s) for s in whole), max(map(len, scores), default=1))
 
+    def units(self) -> re.Pattern:
+        """Runs of text that no piece crosses the border of: words with the spaces before them, cut also where a letter is
+        followed by no letter and around characters that no longer piece has, if the piece table allows that."""
+        longer = [x for x in self.ids if len(x) > 1]
+        if any(b == SPACE != a for x in longer for a, b in zip(x, x[1:], strict=False)):
+            return re.compile(r"[\s\S]+")
+        odd = "".join(sorted({c for x in longer for c in x if re.match(r"[^\W\d_]", c) and not c.isalpha()}))  # such as superscripts
+        letter = re.compile(rf"[^\W\d_{odd}]")
+        if any(letter.match(a) and not letter.match(b) for x in longer for a, b in zip(x, x[1:], strict=False)):
+            return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        inside = set().union(*longer) if longer else set()
+        alone = "".join(re.escape(chr(i)) for i in range(128) if chr(i) not in inside and not letter.match(chr(i)))
+        other = f"(?:(?![{SPACE}{alone}])[\\W\\d_{odd}])"
+        first = f"[{alone}]|" if alone else ""
+        return re.compile(f"{first}{SPACE}*{other}*[^\\W\\d_{odd}]+|{SPACE}*{other}+|{SPACE}+")
+
     def spell(self, char: str) -> list[int]:
         """Ids of a character that no piece has."""
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
@@ -69,9 +85,11 @@ class Encoder:
         self.pieces, self.bound = pieces, bound
         sizes: dict[str, set[int]] = {}
         for x in pieces.ids:
-            sizes.setdefault(x[-3:], set()).add(len(x))
-        #: Lengths of the pieces that end with these characters, the longest first.
-        self.sizes = {k: sorted(v, reverse=True) for k, v in sizes.items()}
+            if len(x) > 2:
+                sizes.setdefault(x[:3], {1, 2}).add(len(x))
+        #: Lengths of edges that can begin with these characters, the longest first.
+        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
+        self.units = pieces.units()
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
@@ -105,41 +123,63 @@ class Encoder:
         return ok
 
     def path(self, word: str) -> list[str]:
-        """The word's pieces: a fold over its positions along the lattice's edges."""
-        ids, longest, n = self.pieces.ids, self.pieces.longest, len(word)
-        last: list[int] = [0] * (n + 1)  # where the edge that ends here begins
-        if self.pieces.bpe:
-            ends = [""] * (n + 1)  # the piece that ends here
-            pairs, sizes = self.pairs, self.sizes
-            for i in range(1, n + 1):
-                for j in [*[i - k for k in sizes.get(word[i - 3 : i], ()) if k <= i], i - 2, i - 1] if i > 2 else range(i):
-                    piece = word[j:i]
-                    if piece in ids or j == i - 1:
-                        before = ends[j]
-                        if before:
-                            ok = pairs.get((before, piece))
-                            if ok is None:
-                                ok = self.follows(before, piece)
-                            if not ok:
-                                continue
-                        elif len(piece) > 1 and not self.derivable(piece):
-                            continue
-                        last[i], ends[i] = j, piece
-                        break
-        else:
-            scores, best = self.pieces.scores, [0.0] + [-np.inf] * n
-            floor = min(scores.values(), default=0.0) - 10  # of a character that no piece has
-            for i in range(1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    s = scores.get(word[j:i], floor if j == i - 1 else None)
-                    if s is not None and best[j] + s > best[i]:
-                        best[i], last[i] = best[j] + s, j
+        """The word's pieces along the lattice's edges."""
+        return self.merge_path(word) if self.pieces.bpe else self.best_path(word)
+
+    def best_path(self, word: str) -> list[str]:
+        """Viterbi: a fold over positions that keeps the best sum of scores up to each."""
+        scores, longest, n = self.pieces.scores, self.pieces.longest, len(word)
+        last, best = [0] * (n + 1), [0.0] + [-np.inf] * n
+        floor = min(scores.values(), default=0.0) - 10  # of a character that no piece has
+        for i in range(1, n + 1):
+            for j in range(max(0, i - longest), i):
+                s = scores.get(word[j:i], floor if j == i - 1 else None)
+                if s is not None and best[j] + s > best[i]:
+                    best[i], last[i] = best[j] + s, j
         out, i = [], n
         while i:
             out.append(word[last[i] : i])
             i = last[i]
         return out[::-1]
 
+    def merge_path(self, word: str) -> list[str]:
+        """The only path whose neighbours all follow each other, by depth and the longest edges first.
+
+        What leads to a position is unique as well, so a position that was left in vain is never tried again.
+        """
+        ids, sizes, pairs, n = self.pieces.ids, self.sizes, self.pairs, len(word)
+        out: list[str] = []
+        tried: list[int] = []  # how many of the edges from each position on the path were tried
+        dead: set[int] = set()
+        i, k, before = 0, 0, ""
+        while i < n:
+            options = sizes.get(word[i : i + 3], _SHORT)
+            while k < len(options):
+                size = options[k]
+                k += 1
+                if i + size > n or i + size in dead:
+                    continue
+                piece = word[i : i + size]
+                if size > 1 and piece not in ids:
+                    continue
+                if before:
+                    ok = pairs.get((before, piece))
+                    if ok is None:
+                        ok = self.follows(before, piece)
+                    if not ok:
+                        continue
+                elif size > 1 and not self.derivable(piece):
+                    continue
+                out.append(piece)
+                tried.append(k)
+                i, k, before = i + size, 0, piece
+                break
+            else:  # no edge leads on from here
+                dead.add(i)
+                i, k = i - len(out.pop()), tried.pop()
+                before = out[-1] if out else ""
+        return out
+
     def word(self, word: str) -> bytes:
         """A word's ids as 32-bit integers."""
         found = self.known.get(word)
@@ -158,7 +198,7 @@ class Encoder:
         if not text:
             return np.empty(0, np.int32)
         known, word = self.known, self.word
-        return np.frombuffer(b"".join([known.get(u) or word(u) for u in _UNITS.findall(SPACE + text.replace(" ", SPACE))]), np.int32)
+        return np.frombuffer(b"".join([known.get(u) or word(u) for u in self.units.findall(SPACE + text.replace(" ", SPACE))]), np.int32)
 
 
 def decode_ids(ids: list[int], raw: list[bytes]) -> str:
@@ -167,6 +207,17 @@ def decode_ids(ids: list[int], raw: list[bytes]) -> str:
     return text[1:] if text[:1] == " " else text
 
 
+def _encoder(pieces: Pieces) -> Encoder:
+    """The encoder of this Python worker, kept for its later tasks: its tables only remember, and are bounded."""
+    import pyspark
+
+    key, kept = (len(pieces.ids), hash(tuple(pieces.raw))), pyspark.__dict__.setdefault("_reminisce_encoders", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(pieces)
+    return kept[key]
+
+
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """docs without the text, with ids, n_tokens and round_trip: whether decoding the ids gives the text back.
 
@@ -178,7 +229,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(k, v) for k, v in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces)
+        encoder = _encoder(pieces)
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 texts = part.column(text).to_pylist()
