@@ -275,13 +275,12 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         begin = F.sequence(F.lit(1), F.length("word") + 1)
 
         def step(at, _):
-            spans = F.transform(F.sequence(F.lit(1), F.size(at) - 2), lambda i: F.struct(F.element_at(at, i + 2).alias("e"), F.element_at(at, i).alias("s"), F.element_at(at, i + 1).alias("m")))
-            scored = F.transform(spans, lambda x: F.struct(F.element_at(F.transform(F.filter("edges", lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"])), lambda y: y["score"]), 1).alias("score"), (-x["s"]).alias("left"), x["m"].alias("m")))
+            spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(at) - 2, F.lit(1))), lambda i: F.struct(F.try_element_at(at, i + 2).alias("e"), F.try_element_at(at, i).alias("s"), F.try_element_at(at, i + 1).alias("m")))
+            scored = F.transform(spans, lambda x: F.struct(F.try_element_at(F.transform(F.filter("edges", lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"]) & (y["score"] > floor)), lambda y: y["score"]), F.lit(1)).alias("score"), (-x["s"]).alias("left"), x["m"].alias("m")))
             best = F.array_max(F.filter(scored, lambda x: x["score"].isNotNull()))
             return F.when((F.size(at) < 3) | best.isNull(), at).otherwise(F.filter(at, lambda x: x != best["m"]))
 
-        step_safe = lambda at, i: F.when(F.size(at) < 3, at).otherwise(step(at, i))
-        at = F.aggregate(F.sequence(F.lit(1), F.length("word")), begin, step_safe)
+        at = F.aggregate(F.sequence(F.lit(1), F.length("word")), begin, step)
     else:
         # the state is, for each position so far, the best score and where its last edge begins
         zero = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s")))
