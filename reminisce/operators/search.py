@@ -174,12 +174,22 @@ def porter_terms(text: Column) -> Column:
 
 
 def text_like(mime: Column) -> Column:
-    """Whether a MIME type is of text: text/..., JSON, XML, YAML, scripts; null counts as text."""
-    low = F.lower(F.trim(mime))
-    tests = [low.startswith("text/")] + [low.contains(x) for x in ("json", "xml", "yaml", "javascript", "typescript", "csv", "toml", "x-sh")]
+    """Whether a MIME type is of text; null counts as text."""
+    low = F.lower(mime)
+    tests = [low.startswith("text/")] + [low.contains(x) for x in ("json", "javascript", "xml", "yaml", "yml", "toml")]
     return mime.isNull() | reduce(lambda a, b: a | b, tests)
 
 
+def index_text(content: Column, prefixes: tuple[str, ...] = ("[File:", "[Tool Output:"), hints: tuple[str, ...] = ("Use ", "Call ")) -> Column:
+    """What is indexed of a message: all, but of a reference to a stored file its header and its exploration summary, without hint lines; null for blank."""
+    trimmed = F.trim(content)
+    lines = F.filter(F.transform(F.split(trimmed, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    at = F.array_position(lines, "Exploration Summary:")
+    summary = F.filter(F.when(at > 0, F.slice(lines, at.cast("int") + 1, F.greatest(F.size(lines), F.lit(1)))).otherwise(F.array().cast("array<string>")), lambda x: ~reduce(lambda a, b: a | b, [x.startswith(h) for h in hints]) & (x != "Exploration Summary:"))
+    stored = reduce(lambda a, b: a | b, [trimmed.startswith(p) for p in prefixes])
+    return F.when(trimmed == "", F.lit(None)).when(stored, F.array_join(F.concat(F.slice(lines, 1, 1), summary), "\n")).otherwise(content)
+
+
 def file_matches(files: DataFrame, pattern: str, prefix_bytes: int = 512_000, per_file: int = 10, around: int = 80) -> DataFrame:
     """file_id, match, line, byte_offset, snippet: the first matches of each text file, as positions in UTF-8.
 
