@@ -27,12 +27,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 M, C = f"WITH {MESSAGES}", f"WITH {MESSAGES}, {CONVERSATIONS}"
-_KIND = F.element_at(F.array(*map(F.lit, ["text", "thinking", "tool_use", "image", "step-start", "other"])), (F.col("message_id") % 6 + 1).cast("int"))
 
 
 def _blocks(m: DataFrame) -> DataFrame:
     """messages whose content is a JSON array of one block, of a kind by id."""
-    return m.withColumn("content", F.to_json(F.array(F.struct(_KIND.alias("type"), F.lit("hello").alias("text"), F.concat(F.lit("c"), F.col("message_id").cast("string")).alias("id")))))
+    kind = F.element_at(F.array(*map(F.lit, ["text", "thinking", "tool_use", "image", "step-start", "other"])), (F.col("message_id") % 6 + 1).cast("int"))
+    return m.withColumn("content", F.to_json(F.array(F.struct(kind.alias("type"), F.lit("hello").alias("text"), F.concat(F.lit("c"), F.col("message_id").cast("string")).alias("id")))))
 
 
 @query("part_types", f"{M} SELECT message_id, (['text', 'reasoning', 'tool', 'file', 'step_start', 'agent'])[(message_id % 6 + 1)::INT] AS part_type, 'hello' AS text, 'c' || message_id AS tool_call_id FROM m")

@@ -1,5 +1,9 @@
 """Every query against its oracle on the smallest tables; those without one give the same rows twice."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from oracle import check
@@ -26,3 +30,8 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["conversation_id", "n", "tokens", "first_seq", "last_seq"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_names_need_no_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and len(e.oracle_sql()) > 90"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
