@@ -38,15 +38,15 @@ def words(text: str | None) -> list[str]:
 
 
 class Hashes(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
+    """word -> 64-bit hash; the first `bound` of them are remembered, which holds the common ones."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 100_000):
         self.bound = bound
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < self.bound:
+            self[word] = h
         return h
 
     def of(self, tokens: list[str]) -> np.ndarray:

@@ -153,20 +153,25 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         mine = _pairs(table)
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         n, sizes = len(sets), np.array([len(x) for x in sets])
-        values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        doc = np.repeat(np.arange(n), sizes)
-        shared = times[at] > 1
-        number = np.cumsum(times > 1) - 1
-        doc, at = doc[shared], number[at[shared]]
-        order = np.argsort(at, kind="stable")
-        doc, at = doc[order], at[order]
-        common, total = np.zeros((n, n)), int((times > 1).sum())
-        width = 8192
-        for c in range(0, total, width):
-            lo, hi = np.searchsorted(at, (c, c + width))
-            part = np.zeros((n, min(width, total - c)), np.float32)
-            part[doc[lo:hi], at[lo:hi] - c] = 1
-            common += part @ part.T
+        common = np.zeros((n, n))
+        # shingles are hashes, so equal ranges of them hold about as many each; a range at a time bounds the memory
+        ranges = -(-int(sizes.sum()) // 500_000)
+        edges_of = [int(i * 2**64 // ranges) for i in range(1, ranges)]
+        cuts = [np.r_[0, np.searchsorted(x, np.array(edges_of, np.uint64)), len(x)] for x in sets]
+        for k in range(ranges):
+            part = [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True)]
+            _, at, times = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
+            doc = np.repeat(np.arange(n), [len(x) for x in part])
+            shared, number = times[at] > 1, np.cumsum(times > 1) - 1
+            doc, at = doc[shared], number[at[shared]]
+            order = np.argsort(at, kind="stable")
+            doc, at = doc[order], at[order]
+            total, width = int((times > 1).sum()), 8192
+            for c in range(0, total, width):
+                lo, hi = np.searchsorted(at, (c, c + width))
+                held = np.zeros((n, min(width, total - c)), np.float32)
+                held[doc[lo:hi], at[lo:hi] - c] = 1
+                common += held @ held.T
         linked = mine & (common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9)
         a, b = np.nonzero(linked)
         either = linked | linked.T

@@ -79,9 +79,9 @@ class Pieces:
 
 
 class Encoder:
-    """Paths of words, remembered up to a bound; one for each task."""
+    """Paths of words; the first `bound` of them are remembered, which holds the common ones."""
 
-    def __init__(self, pieces: Pieces, bound: int = 1_000_000):
+    def __init__(self, pieces: Pieces, bound: int = 200_000):
         self.pieces, self.bound = pieces, bound
         sizes: dict[str, set[int]] = {}
         for x in pieces.ids:
@@ -111,9 +111,9 @@ class Encoder:
     def follows(self, a: str, b: str) -> bool:
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            ok = self.merged(a + b) == [a, b]
+            if len(self.pairs) < self.bound:
+                self.pairs[a, b] = ok
         return ok
 
     def derivable(self, piece: str) -> bool:
@@ -184,13 +184,13 @@ class Encoder:
         """A word's ids as 32-bit integers."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= self.bound:
-                self.known.clear()
             ids: list[int] = []
             for piece in self.path(word):
                 i = self.pieces.ids.get(piece)
                 ids += [i] if i is not None else self.pieces.spell(piece)
-            found = self.known[word] = np.array(ids, np.int32).tobytes()
+            found = np.array(ids, np.int32).tobytes()
+            if len(self.known) < self.bound:
+                self.known[word] = found
         return found
 
     def encode(self, text: str | None) -> np.ndarray:

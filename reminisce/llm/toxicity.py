@@ -45,9 +45,9 @@ class Model:
         for word in words(text):
             hits = memo.get(word)
             if hits is None:
-                if len(memo) > 500_000:
-                    memo.clear()
-                hits = memo[word] = tuple(x for x in features_of(word) if x in self.weights)
+                hits = tuple(x for x in features_of(word) if x in self.weights)
+                if len(memo) < 200_000:
+                    memo[word] = hits
             if hits:
                 found.update(hits)
         total = sum(self.weights[k] * np.log1p(n) for k, n in found.items())
