@@ -110,18 +110,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Large-star and small-star steps until nothing changes. Nodes are rows and never meet on the driver; a hub is
     a key of joins that split, and only its minimum is aggregated.
     """
+    own = F.xxhash64("a", "b")
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(own), F.sum(F.pmod(own, F.lit(2_147_483_647)))).first())
     edges = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    before = mark(edges)
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # written, so that the join below reads two exchanges of its own, and a hub's can be split
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = cut(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), name)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").select(F.col("b"), F.col("m"), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         small = cut(small, name)
-        # the fixed point is a star around each root: no node is both a member and a root, and none has two roots
-        moved = small.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(small, ["a", "b"], "left_anti").limit(1).count()
-        edges = small
-        if not moved:
+        # the fixed point is a star around each root, which the next steps would give again: count and digests tell
+        now, edges = mark(small), small
+        if now == before:
             break
+        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -203,14 +203,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = sketches.filter("class is not null").groupBy("class").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("signature").alias("signature"))
     classes = cut(classes, "join-classes")
     found = components(candidates(classes), "join-candidates")
-    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(found.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "join-sizes")
     members = cut(found.join(sizes, "root").join(classes.drop("signature"), found["node"] == classes["class"]).select("class", "copies", F.col("root").alias("component"), "n", "first.d", "first.t"), "join-members")
     side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     texts = slim.join(side, slim["doc_id"].eqNullSafe(F.col("d")) & (slim["text_hash"] == F.col("t"))).select("class", "copies", "component", "n", "text")
     verified = cut(verify(texts, threshold), "join-verified")
     links = verified.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     groups = components(verified.filter("b is not null").select("a", "b"), "join-links").select(F.col("node").alias("class"), "root")
-    leader = groups.join(classes.select("class", "first"), "class").groupBy("root").agg(F.min("first").alias("leader"))
+    leader = cut(groups.join(classes.select("class", "first"), "class").groupBy("root").agg(F.min("first").alias("leader")), "join-leaders")
     info = classes.select("class", "first", "copies").join(links, "class", "left").join(groups.join(leader, "root").select("class", "leader"), "class", "left")
     info = info.select("class", F.coalesce("leader", "first").alias("leader"), F.col("first.d").alias("text_id"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
     # only classes of several documents or links need to be looked up
