@@ -13,32 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reminisce.llm import linededup, mixing, ngramjoin, pieces, quality
-from reminisce.llm.common import cut
+from reminisce.llm.common import cut, small_batches
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least 0.3, by a model fitted on labels of documents that aren't held out."""
+    small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).filter("predicted = 1").drop("held_out", "score", "predicted")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages, and their new n_chars. Every document stays, some with an empty text."""
+    small_batches(spark)
     return linededup.dedup(docs).drop("removed_lines").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    small_batches(spark)
     return ngramjoin.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture that fills as many tokens as there are, no source repeated more than 1.25 times."""
+    small_batches(spark)
     return mixing.realise(mixing.mix(docs))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, ids, n_tokens and round_trip of each row."""
+    small_batches(spark)
     return pieces.encode(docs, pieces.Pieces.load())
 
 

@@ -6,9 +6,11 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from reminisce.llm import licenses, linededup, media, mixing, neighbours, ngramjoin, pieces, quality, secrets, toxicity
+from reminisce.llm.common import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
