@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by Euclidean distance.
 
 Method: an inverted file. Coarse centroids split the vectors into lists; residuals are coded by product quantisation;
-a query probes its nearest lists, estimates distances from the codes through asymmetric tables, and the best
-estimates are ranked again by the exact distance on the original vectors.
+a query probes its nearest lists, estimates distances from the codes through asymmetric tables, and ranks by the exact
+distance on the original vectors until no estimate that is left, less the error of its vector's code, can beat the k-th.
 Centroids and codebooks come from a bounded sample, on which the number of probes is set by measured recall; every
 vector is indexed. A list is cut into blocks of bounded size, so a list that holds most vectors is many tasks.
 """
@@ -74,6 +74,11 @@ class Index:
         rest = x - self.centroids[at]
         return np.stack([squared(rest[:, a:b], book).argmin(1) for a, b, book in zip(self.edges, self.edges[1:], self.books, strict=False)], axis=1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each vector is from what its code stands for: no distance is off its estimate by more."""
+        rest = x - self.centroids[at]
+        return np.sqrt(sum(((rest[:, a:b] - book[codes[:, j]]) ** 2).sum(1) for j, (a, b, book) in enumerate(zip(self.edges, self.edges[1:], self.books, strict=False))))
+
     def estimate(self, query: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of a query to coded vectors of a list, from one table a part."""
         rest = query - self.centroids[at]
@@ -121,7 +126,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def build(vectors: DataFrame, index: Index) -> DataFrame:
-    """vec_id, list, code and the vector itself of every vector of the index's dimension."""
+    """vec_id, list, code, the code's error and the vector itself of every vector of the index's dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +134,9 @@ def build(vectors: DataFrame, index: Index) -> DataFrame:
                 x = _matrix(batch.column("embedding"), index.dim).astype(np.float64)
                 at = np.concatenate([index.lists(x[i : i + 4096], 1)[:, 0] for i in range(0, len(x), 4096)])
                 codes = index.encode(x, at)
-                yield pa.record_batch([batch.column("vec_id"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("embedding")], ["vec_id", "list", "code", "embedding"])
+                yield pa.record_batch([batch.column("vec_id"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.errors(x, at, codes)), batch.column("embedding")], ["vec_id", "list", "code", "error", "embedding"])
 
-    return vectors.filter(F.size("embedding") == index.dim).mapInArrow(run, "vec_id long, list int, code binary, embedding array<double>")
+    return vectors.filter(F.size("embedding") == index.dim).mapInArrow(run, "vec_id long, list int, code binary, error double, embedding array<double>")
 
 
 def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, block_rows: int = 20_000, index: Index | None = None) -> DataFrame:
@@ -141,7 +146,8 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, bloc
     id or an unusable vector (null, zero, with null or non-finite components, or not of the most common dimension)
     take no part. A repeated vec_id is one candidate, at its smallest distance, and one query, by the smallest of its
     vectors. Equal vectors are estimated once, so copies never crowd out others: the k + 1 smallest ids of each
-    distinct vector stay. depth estimates of each block of up to about block_rows are ranked exactly.
+    distinct vector stay. Of each block of up to about block_rows, depth estimates are ranked exactly at first, and more until
+    the rest can't be among the k nearest: within the lists that are probed the result is exact.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -183,18 +189,28 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, bloc
             group = np.argsort(same, kind="stable")
             starts = np.r_[0, np.cumsum(np.bincount(same))]
             at = key[0].as_py()
-            vectors, codes = x[first], codes[first]
+            vectors, codes, error = x[first], codes[first], candidates["error"].to_numpy()[order][first]
             for q, query in zip(queries["query_id"].to_numpy(), _matrix(queries["query"], index.dim), strict=True):
-                near = index.estimate(query, at, codes)
-                best = np.argpartition(near, depth)[:depth] if len(near) > depth else np.arange(len(near))
-                distance = exact(query, vectors[best])
-                members = [group[starts[b] : min(starts[b] + k + 1, starts[b + 1])] for b in best]
-                d, m = np.repeat(distance, [len(y) for y in members]), ids[np.concatenate(members)]
-                d, m = d[m != q], m[m != q]
-                o = np.lexsort((m, d))
-                _, once = np.unique(m[o], return_index=True)  # a repeated id once, at its nearest
-                o = o[np.sort(once)][:k]
-                found.append((np.full(len(o), q), m[o], d[o]))
+                near = np.sqrt(index.estimate(query, at, codes))
+                # the least that each distance can be, rounding allowed for; 0 where numbers overflow
+                least = np.nan_to_num(near - error - 1e-9 * (near + error) - 1e-12 * np.abs(query).max(), nan=0.0, posinf=0.0)
+                by = np.argsort(least, kind="stable")
+                d, m = np.empty(0), np.empty(0, np.int64)
+                done, step = 0, max(depth, 1)
+                while done < len(by) and (len(m) < k or least[by[done]] <= d[-1]):
+                    best = by[done : done + step]
+                    distance = exact(query, vectors[best])
+                    if len(m) == k:
+                        best, distance = best[distance <= d[-1]], distance[distance <= d[-1]]
+                    members = [group[starts[b] : min(starts[b] + k + 1, starts[b + 1])] for b in best]
+                    d, m = np.r_[d, np.repeat(distance, [len(y) for y in members])], np.concatenate([m, *(ids[y] for y in members)])
+                    d, m = d[m != q], m[m != q]
+                    o = np.lexsort((m, d))
+                    _, once = np.unique(m[o], return_index=True)  # a repeated id once, at its nearest
+                    o = o[np.sort(once)][:k]
+                    d, m = d[o], m[o]
+                    done, step = done + step, min(2 * step, 4096)
+                found.append((np.full(len(m), q), m, d))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
 

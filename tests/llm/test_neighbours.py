@@ -48,6 +48,17 @@ def test_exact_with_all_lists(spark):
     assert {q: [(b, s) for _, b, s in v] for q, v in got.items()} == want
 
 
+def test_jittered_copies(spark):
+    """Many groups of hundreds of near copies: few codes are left for each, so estimates alone can't rank them."""
+    rng = np.random.default_rng(3)
+    x = (np.repeat(rng.normal(size=(80, 32)), 400, axis=0) + rng.normal(size=(32_000, 32)) * 1e-4).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got, want = found(N.search(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA))), brute(rows)
+    hits = sum(len({a for a, _ in want[q]} & {b for _, b, _ in got[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.95
+
+
 def test_unusable_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, None), (200, [0.0, 0.0]), (300, [float("nan"), 1.0]), (400, [1.0, None]), (500, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (10, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
