@@ -26,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages, and their new n_chars. Every document stays, some with an empty text."""
     small_batches(spark)
-    return linededup.dedup(docs).drop("removed_lines").withColumn("n_chars", F.length("text").cast("long"))
+    return linededup.passages(docs).drop("removed_lines").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

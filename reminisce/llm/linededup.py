@@ -1,6 +1,11 @@
-"""Line dedup: passages of whole lines that stand elsewhere before are deleted.
+"""Line dedup: passages that stand elsewhere before are deleted, wherever in a line they begin and end, or as whole lines.
 
-Method: winnowing over line hashes. A window is a run of lines just long enough to hold MIN_WORDS words; the smallest line
+passages() is winnowing over words. Every run of MIN_WORDS words is a window, and the smallest hash of the short runs in it is
+its print, so equal windows have equal prints. Prints that occur once are dropped, by a bitmap of fixed size that may let
+others through. Neighbouring windows of one print are a row; rows of the same content are later copies of the first of
+them as a whole, and only the firsts of a print with several contents are compared window by window.
+
+dedup() takes whole lines only: winnowing over line hashes. A window is a run of lines just long enough to hold MIN_WORDS words; the smallest line
 hash of each window is a fingerprint, so any repeated run of that many words has a fingerprint in common with its
 earlier copy, wherever it begins. Fingerprints that occur once in all texts are dropped. At the others' positions the
 match is extended both ways: the windows around them, grown forwards and backwards, are compared by content, and those
@@ -11,16 +16,22 @@ document gives a row for each of its occurrences and not for each pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reminisce.llm.common import Hashes, by_key, cut, mix
+
 MIN_WORDS = 50
+#: Bits of the bitmap of prints that occur more than once, and of each of the pieces it is made in.
+BITMAP, PIECE = 26, 14
 
 _FOUND = "doc_id long, text_hash long, print long, windows array<struct<hash:long,first:int,last:int>>"
 
@@ -126,6 +137,169 @@ def remove(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g)
 
 
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+class Rolling:
+    """Hashes of all runs of k words, from prefix sums; tables of powers grow with the longest text."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, words: np.ndarray, k: int) -> np.ndarray:
+        n = len(words)
+        if n >= len(self.up):
+            power = lambda f: np.r_[np.uint64(1), np.cumprod(np.full(2 * n, f, np.uint64), dtype=np.uint64)]
+            self.up, self.down = power(np.uint64(_FACTOR)), power(np.uint64(pow(_FACTOR, -1, 2**64)))
+        sums = np.r_[np.uint64(0), np.cumsum(words * self.down[:n], dtype=np.uint64)]
+        return mix((sums[k:] - sums[:-k]) * self.up[: n - k + 1])
+
+
+def smallest(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each `width` neighbours."""
+    n = len(x)
+    rows = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    rows[:n] = x
+    rows = rows.reshape(-1, width)
+    before, after = np.minimum.accumulate(rows, 1).ravel(), np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(after[: n - width + 1], before[width - 1 : n])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], least: int, contents: bool = True, size: int = 50_000) -> Iterator[tuple]:
+    """Of texts of about `size` words together: the batch, and of each window of the texts its row, place, print and hash, or None without contents."""
+    hashes, rolling, gram = Hashes(), Rolling(), max(1, least // 3)
+    for batch in batches:
+        held: list[tuple[int, np.ndarray]] = []
+        total = 0
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            tokens = text.lower().split()
+            if len(tokens) >= least:
+                held.append((i, np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))))
+                total += len(tokens)
+            if held and (total >= size or i + 1 == batch.num_rows):
+                words = np.concatenate([x for _, x in held])
+                lengths = np.array([len(x) for _, x in held])
+                prints = smallest(rolling(words, gram), least - gram + 1)
+                starts = np.repeat(np.cumsum(lengths) - lengths, lengths - least + 1)
+                place = np.arange(len(starts)) - np.repeat(np.cumsum(lengths - least + 1) - (lengths - least + 1), lengths - least + 1)
+                at = starts + place  # windows inside a text
+                yield batch, np.repeat([i for i, _ in held], lengths - least + 1), place, prints[at], rolling(words, least)[at] if contents else None
+                held, total = [], 0
+
+
+def _runs(row: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Where neighbouring windows of one text and print begin, and the end."""
+    return np.r_[0, np.flatnonzero((row[1:] != row[:-1]) | (prints[1:] != prints[:-1])) + 1, len(row)]
+
+
+def _bitmap(keys: DataFrame) -> Callable[[pd.Series], pd.Series]:
+    """Whether values are among the hashes in column key: true for all that are, and for a few others."""
+    bit = F.col("key").bitwiseAND(F.lit((1 << BITMAP) - 1))
+    keys = keys.select(F.shiftright(bit, PIECE).cast("int").alias("piece"), bit.bitwiseAND(F.lit((1 << PIECE) - 1)).cast("int").alias("bit")).distinct()
+
+    def fill(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PIECE, bool)
+        bits[table["bit"].to_numpy()] = True
+        return pa.table([table["piece"][:1].cast(pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["piece", "bits"])
+
+    held = np.zeros((1 << (BITMAP - PIECE), 1 << (PIECE - 3)), np.uint8)
+    for r in by_key(keys, ["piece"], fill, "piece int, bits binary").collect():  # a bitmap of fixed size
+        held[r["piece"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    held = keys.sparkSession.sparkContext.broadcast(held.ravel())
+
+    def among(x: pd.Series) -> pd.Series:
+        bit = x.to_numpy() & ((1 << BITMAP) - 1)
+        return pd.Series((held.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1)
+
+    return among
+
+
+def _among(keys: DataFrame, column: Column) -> Column:
+    return F.pandas_udf(_bitmap(keys), "boolean")(column)
+
+
+def _shared(docs: DataFrame, least: int) -> DataFrame:
+    """key: the prints that occur more than once."""
+    gram = max(1, least // 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, row, _, prints, _ in _windows(batches, least, False):
+            cuts = _runs(row, prints)
+            # more windows than a print has room in mean that it stands there twice
+            times = -(-np.diff(cuts) // (least - gram + 1))
+            yield pa.record_batch([pa.array(prints[cuts[:-1]].view(np.int64)), pa.array(times)], ["key", "times"])
+
+    return docs.select("text").mapInArrow(run, "key long, times long").groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key")
+
+
+def stretches(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_hash, spans: the words (first, last) of each document's windows that stand elsewhere before."""
+    seen = _bitmap(_shared(docs, least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, place, prints, content in _windows(batches, least):
+            cuts = _runs(row, prints)
+            at, size, own = cuts[:-1], np.diff(cuts), prints[cuts[:-1]]
+            keep = seen(pd.Series(own.view(np.int64))).to_numpy()
+            at, size, own = at[keep], size[keep], own[keep]
+            # a print that stands several times in a text is told apart by its place, so that a text has each content once
+            _, which, times = np.unique(np.stack([row[at].astype(np.uint64), own]), axis=1, return_inverse=True, return_counts=True)
+            salt = np.where((times[which.ravel()] > 1) | (size > least), place[at] + 1, 0)
+            digests = [xxhash.xxh64_intdigest(content[a : a + n].tobytes(), seed=int(x)) for a, n, x in zip(at.tolist(), size.tolist(), salt.tolist(), strict=True)]
+            inside = np.repeat(at - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(at) else np.empty(0, np.int64)
+            hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(content[inside].view(np.int64)))
+            take = pa.array(row[at])
+            yield pa.record_batch([batch.column("doc_id").take(take), batch.column("text_hash").take(take), pa.array(own.view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(place[at].astype(np.int32)), hashes], ["doc_id", "text_hash", "print", "digest", "first", "hashes"])
+
+    found = cut(docs.mapInArrow(run, "doc_id long, text_hash long, print long, digest long, first int, hashes array<long>"), "passages")
+    # documents in the order of their ids, null last; equal ids by text
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("first").alias("f"))
+    contents = found.groupBy("print", "digest").agg(F.min(place).alias("o"))
+    several = contents.groupBy("print").agg(F.count(F.lit(1)).alias("contents"))
+    same = F.col("doc_id").eqNullSafe(F.col("o.d")) & (F.col("text_hash") == F.col("o.t"))
+    copies = found.select("doc_id", "text_hash", "print", "digest", "first", F.size("hashes").alias("size")).join(contents, ["print", "digest"]).filter(~same)
+    whole = copies.select("doc_id", "text_hash", "first", (F.col("first") + F.col("size") + least - 2).alias("last"))
+    # bitmaps instead of joins: what they let through besides is compared too, which changes nothing
+    own = F.xxhash64("print", "digest", "doc_id", "text_hash")
+    keys = contents.join(several.filter("contents > 1"), "print").select(F.xxhash64("print", "digest", "o.d", "o.t").alias("key"))
+    firsts = found.withColumn("own", _among(keys, own)).filter(F.col("own") | (F.size("hashes") > least))
+    windows = firsts.select("doc_id", "text_hash", F.col("first").alias("from"), F.posexplode("hashes").alias("i", "hash")).select("doc_id", "text_hash", (F.col("from") + F.col("i")).alias("first"), "hash")
+    again = windows.groupBy(F.col("hash").alias("key")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
+    windows = windows.withColumn("again", _among(again, F.col("hash"))).filter("again").drop("again")
+    before = windows.groupBy("hash").agg(F.min(place).alias("o"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    later = windows.join(before, "hash").filter(~same | (F.col("first") >= F.col("o.f") + least)).select("doc_id", "text_hash", "first", (F.col("first") + least - 1).alias("last"))
+    return cut(whole.unionByName(later).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "passages-spans")
+
+
+_TOKEN = re.compile(r"\S+")
+
+
+def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans, and without the lines that lose all their words or lie between lost ones."""
+    lines = text.split("\n")
+    found = [list(_TOKEN.finditer(x)) for x in lines]
+    gone = np.zeros(sum(map(len, found)) + 2, int)
+    for a, b in spans:
+        gone[a + 1] += 1
+        gone[b + 2] -= 1
+    gone = [*(np.cumsum(gone) > 0).tolist(), False]  # of the word before each
+    out, n = [], 0
+    for line, tokens in zip(lines, found, strict=True):
+        lost = gone[n + 1 : n + 1 + len(tokens)]
+        if not tokens:
+            if not (gone[n] and gone[n + 1]):
+                out.append(line)
+        elif not any(lost):
+            out.append(line)
+        elif not all(lost):
+            # each kept word with the space before it; the first with the line's indent
+            kept = [(k, m) for k, (m, g) in enumerate(zip(tokens, lost, strict=True)) if not g]
+            tail = line[tokens[-1].end() :] if not lost[-1] else ""
+            out.append("".join(line[tokens[k - 1].end() if k else 0 : m.end()] if i or not k else line[: tokens[0].start()] + m[0] for i, (k, m) in enumerate(kept)) + tail)
+        n += len(tokens)
+    return "\n".join(out)
+
+
 def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of passages deleted from text, and removed_lines: how many lines went.
 
@@ -134,11 +308,34 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     without words go with the passage around them. Rows that repeat both doc_id and text are one document, treated alike.
     A null text stays null and an empty one empty; every row and the other columns stay.
     """
+    return _without(docs, lambda slim: repeated(slim, least), remove)
+
+
+def passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """docs with later copies of passages deleted from text, and removed_lines: how many lines went as a whole.
+
+    A passage is a run of `least` words or more, alike but for case and spacing, wherever in a line it begins and ends. Its
+    first occurrence, by doc_id (null last) and place, stays; within one text, a copy is later only if it begins after the
+    first ends. Lines without words go with the words around them. Rows that repeat both doc_id and text are one document,
+    treated alike. A null text stays null and an empty one empty; every row and the other columns stay.
+    """
+    return _without(docs, lambda slim: stretches(slim, least), remove_words, True)
+
+
+def _without(docs: DataFrame, found: Callable[[DataFrame], DataFrame], remove: Callable[[str, list[tuple[int, int]]], str], sift: bool = False) -> DataFrame:
+    """docs without the spans that found(doc_id, text_hash, text) gives, and removed_lines. With sift, texts that no span can belong to aren't shuffled."""
     kept = [c for c in docs.columns if c != "removed_lines"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    spans = repeated(slim, least).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    joined = docs.select(*kept, F.xxhash64(text).alias("_text_hash")).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left").select(*kept, "_spans")
+    spans = found(slim).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    marked = docs.select(*kept, F.xxhash64(text).alias("_text_hash"))
+    rest = None
+    if sift:
+        marked = marked.withColumn("_some", _among(spans.select(F.col("_hash").alias("key")), F.col("_text_hash")))
+        rest = marked.filter("not _some").select(*kept, F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"))
+        marked = marked.filter("_some")
+    joined = marked.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left").select(*kept, "_spans")
+    joined = joined if rest is None else joined.unionByName(rest)
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("removed_lines", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
