@@ -190,10 +190,10 @@ def index_text(content: Column, prefixes: tuple[str, ...] = ("[File:", "[Tool Ou
     return F.when(trimmed == "", F.lit(None)).when(stored, F.array_join(F.concat(F.slice(lines, 1, 1), summary), "\n")).otherwise(content)
 
 
-def file_matches(files: DataFrame, pattern: str, prefix_bytes: int = 512_000, per_file: int = 10, around: int = 80) -> DataFrame:
+def file_matches(files: DataFrame, pattern: str, prefix_bytes: int | None = None, per_file: int = 10, around: int = 80) -> DataFrame:
     """file_id, match, line, byte_offset, snippet: the first matches of each text file, as positions in UTF-8.
 
-    prefix_bytes and per_file are limits of the report.
+    Whole texts are searched, or their first prefix_bytes. per_file is a limit of the report.
     """
     schema = "file_id string, place long, match string, line long, byte_offset long, snippet string"
     if safe_pattern(pattern) is None:
@@ -206,7 +206,9 @@ def file_matches(files: DataFrame, pattern: str, prefix_bytes: int = 512_000, pe
         for batch in batches:
             out = []
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
-                text = (content or "").encode()[:prefix_bytes].decode("utf-8", "ignore")
+                text = content or ""
+                if prefix_bytes is not None:
+                    text = text.encode()[:prefix_bytes].decode("utf-8", "ignore")
                 for k, m in enumerate(compiled.finditer(text)):
                     if k >= per_file:
                         break

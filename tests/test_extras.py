@@ -39,3 +39,12 @@ def test_depth_chunk(spark):
 def test_threshold_without_rules(spark):
     s = spark.createDataFrame([("m", "k", 1)], "model string, session_key string, context_window long")
     assert compact.threshold_for(s, [], 0.75).first().threshold == 0.75
+
+
+def test_file_search_reads_whole_texts(spark):
+    from reminisce.operators import search
+
+    files = spark.createDataFrame([("a", "text/plain", "é" * 300_000 + "\nLicensed"), ("b", "text/plain", "Licensed")], "file_id string, mime_type string, content string")
+    got = sorted((r.file_id, r.line, r.byte_offset) for r in search.file_matches(files, "Licensed").collect())
+    assert got == [("a", 2, 600_001), ("b", 1, 0)]
+    assert [r.file_id for r in search.file_matches(files, "Licensed", prefix_bytes=512_000).collect()] == ["b"]
