@@ -53,7 +53,7 @@ def fewest(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[t
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class (digest of the words), signature; both null for a text without words."""
+    """doc_id, text_hash, class (digest of the words, or of the stripped text where there are none), signature; that is null without words, and both for a blank text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -62,7 +62,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 classes, signatures = [], []
                 for text in part.column("text").to_pylist():
                     tokens = words(text)
-                    classes.append(xxhash.xxh3_128_digest(" ".join(tokens)) if tokens else None)
+                    # a stripped text without words never equals joined words
+                    content = " ".join(tokens) or (text or "").strip()
+                    classes.append(xxhash.xxh3_128_digest(content) if content else None)
                     signatures.append(minhash(shingles(hashes.of(tokens), SHINGLE)).tobytes() if tokens else None)
                 yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "text_hash", "class", "signature"])
 
@@ -193,7 +195,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class_id is the smallest doc_id of the documents connected by links of `threshold` or more, text_id that of those with
     the same words, n_links how many other documents a document is linked to (copies of its words included) and n_texts to
     how many other texts. Words are runs of letters and digits, without case; a text of fewer words than a shingle has one
-    shingle. A text without words, null or empty, is linked to none and its own class. A null doc_id is no smallest id
+    shingle. A text without words is linked to its exact copies only, white space around it aside; a blank or null one is linked to
+    none and its own class. A null doc_id is no smallest id
     unless there is no other.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -202,7 +205,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
     classes = sketches.filter("class is not null").groupBy("class").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("signature").alias("signature"))
     classes = cut(classes, "join-classes")
-    found = components(candidates(classes), "join-candidates")
+    found = components(candidates(classes.filter("signature is not null")), "join-candidates")
     sizes = cut(found.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "join-sizes")
     members = cut(found.join(sizes, "root").join(classes.drop("signature"), found["node"] == classes["class"]).select("class", "copies", F.col("root").alias("component"), "n", "first.d", "first.t"), "join-members")
     side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members

@@ -90,3 +90,9 @@ def test_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(None, text), (3, text), (None, "q " + text), (None, "other")], "doc_id long, text string")
     assert cases.rows(J.one_of_each(df), "doc_id", "text") == [(3, text), (None, "other")]
+
+
+def test_symbols_only(spark):
+    df = spark.createDataFrame([(1, "*** !!! ***"), (2, " *** !!! ***\n"), (3, "*** !!!"), (4, "*** !!! ***"), (5, " "), (6, ""), (7, None), (8, " ")], "doc_id long, text string")
+    assert cases.rows(J.join(df), "doc_id", "class_id", "n_links", "n_texts") == [(1, 1, 2, 0), (2, 1, 2, 0), (3, 3, 0, 0), (4, 1, 2, 0), (5, 5, 0, 0), (6, 6, 0, 0), (7, 7, 0, 0), (8, 8, 0, 0)]
+    assert {r.doc_id for r in J.one_of_each(df).collect()} == {1, 3, 5, 6, 7, 8}
