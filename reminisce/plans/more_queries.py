@@ -167,6 +167,11 @@ def duplicated_elsewhere(spark, sf_dir):
     return recall.duplicated_elsewhere(s.summaries, s.messages.filter("conversation_id < 10").select("conversation_id").distinct())
 
 
+@query("duplicated_anywhere", f"{STORE} SELECT summary_id FROM s WHERE sha256(content) IN (SELECT sha256(content) FROM s GROUP BY 1 HAVING min(conversation_id) <> max(conversation_id))")
+def duplicated_anywhere(spark, sf_dir):
+    return recall.duplicated_anywhere(store(spark, sf_dir).summaries)
+
+
 @query("prompt_recall", f"{M} SELECT conversation_id, 'RETRY_LIMIT' AS identifier, message_id, 'Note RETRY_LIMIT is ' || seq || '.' AS snippet FROM m WHERE role IN ('user', 'assistant') AND conversation_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) <= 4")
 def prompt_recall(spark, sf_dir):
     m = messages(spark, sf_dir).withColumn("content", F.concat(F.lit("First line.\nIntro. Note RETRY_LIMIT is "), F.col("seq").cast("string"), F.lit(". And API_KEY here.\nLast.")))

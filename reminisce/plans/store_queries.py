@@ -362,6 +362,14 @@ def transplant(spark, sf_dir):
     return compact.transplant(s, mapping, 1_000_000)[1]
 
 
+@query("transplant_all", f"""{STORE}, y AS (SELECT summary_id, 'sum_' || substr(md5(summary_id || '|' || (conversation_id + 1000000000)), 1, 16) AS new_id FROM s)
+SELECT a.new_id AS derived_id, b.new_id AS source_id, ordinal FROM e JOIN y a ON a.summary_id = derived_id JOIN y b ON b.summary_id = source_id""")
+def transplant_all(spark, sf_dir):
+    s = store(spark, sf_dir)
+    mapping = s.messages.select("conversation_id", (F.col("conversation_id") + 1_000_000_000).alias("target_id")).distinct()
+    return compact.transplant(s, mapping, 1_000_000)[1]
+
+
 @query("collectable_messages", f"{STORE} SELECT conversation_id, message_id, row_number() OVER (PARTITION BY conversation_id ORDER BY seq) AS place, token_count FROM m WHERE role = 'assistant' AND message_id IN (SELECT message_id FROM k) AND message_id NOT IN (SELECT message_id FROM x WHERE message_id IS NOT NULL) QUALIFY place <= 25")
 def collectable_messages(spark, sf_dir):
     s = store(spark, sf_dir)

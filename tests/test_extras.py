@@ -48,3 +48,14 @@ def test_file_search_reads_whole_texts(spark):
     got = sorted((r.file_id, r.line, r.byte_offset) for r in search.file_matches(files, "Licensed").collect())
     assert got == [("a", 2, 600_001), ("b", 1, 0)]
     assert [r.file_id for r in search.file_matches(files, "Licensed", prefix_bytes=512_000).collect()] == ["b"]
+
+
+def test_every_conversation(spark):
+    from reminisce import registry
+    from reminisce.operators import recall
+
+    rows = [("a", 10, "x"), ("b", 11, "x"), ("c", 12, "y"), ("d", 12, "y"), ("e", 3, "z"), ("f", 30, "z")]
+    df = spark.createDataFrame(rows, "summary_id string, conversation_id long, content string")
+    assert sorted(r.summary_id for r in recall.duplicated_anywhere(df).collect()) == ["a", "b", "e", "f"]
+    every, some = (registry.queries()[k](spark, "/root/testdata/sf0.01").count() for k in ("transplant_all", "transplant"))
+    assert every > some > 0
