@@ -52,6 +52,11 @@ def regex_window(spark, sf_dir):
     return search.regex(messages(spark, sf_dir), "and [a-z]+", None, scanned=100).select("message_id")
 
 
+@query("regex_window_10000", f"{M} SELECT message_id FROM (SELECT * FROM m ORDER BY created_at DESC, message_id DESC LIMIT 10000) WHERE regexp_matches(content, 'and [a-z]+')")
+def regex_window_10000(spark, sf_dir):
+    return search.regex(messages(spark, sf_dir), "and [a-z]+", None, scanned=10_000).select("message_id")
+
+
 _TERMS = "regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}\\p{Co}]+')"
 
 

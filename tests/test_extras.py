@@ -59,3 +59,10 @@ def test_every_conversation(spark):
     assert sorted(r.summary_id for r in recall.duplicated_anywhere(df).collect()) == ["a", "b", "e", "f"]
     every, some = (registry.queries()[k](spark, "/root/testdata/sf0.01").count() for k in ("transplant_all", "transplant"))
     assert every > some > 0
+
+
+def test_window_of_the_reference(spark):
+    from reminisce import registry
+
+    q, sf = registry.queries(), "/root/testdata/sf0.01"
+    assert q["regex_window_10000"](spark, sf).count() > 100 >= q["regex_window"](spark, sf).count()
