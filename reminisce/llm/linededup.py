@@ -262,7 +262,8 @@ def stretches(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     # bitmaps instead of joins: what they let through besides is compared too, which changes nothing
     own = F.xxhash64("print", "digest", "doc_id", "text_hash")
     keys = contents.join(several.filter("contents > 1"), "print").select(F.xxhash64("print", "digest", "o.d", "o.t").alias("key"))
-    firsts = found.withColumn("own", _among(keys, own)).filter(F.col("own") | (F.size("hashes") > least))
+    # written, so that no task needs two Python workers
+    firsts = cut(found.withColumn("own", _among(keys, own)).filter(F.col("own") | (F.size("hashes") > least)).select("doc_id", "text_hash", "first", "hashes"), "passages-firsts")
     windows = firsts.select("doc_id", "text_hash", F.col("first").alias("from"), F.posexplode("hashes").alias("i", "hash")).select("doc_id", "text_hash", (F.col("from") + F.col("i")).alias("first"), "hash")
     again = windows.groupBy(F.col("hash").alias("key")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
     windows = windows.withColumn("again", _among(again, F.col("hash"))).filter("again").drop("again")
@@ -332,10 +333,9 @@ def _without(docs: DataFrame, found: Callable[[DataFrame], DataFrame], remove: C
     rest = None
     if sift:
         marked = marked.withColumn("_some", _among(spans.select(F.col("_hash").alias("key")), F.col("_text_hash")))
-        rest = marked.filter("not _some").select(*kept, F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"))
+        rest = marked.filter("not _some").select(*kept, F.lit(0).cast("long").alias("removed_lines"))
         marked = marked.filter("_some")
     joined = marked.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left").select(*kept, "_spans")
-    joined = joined if rest is None else joined.unionByName(rest)
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("removed_lines", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,4 +348,5 @@ def _without(docs: DataFrame, found: Callable[[DataFrame], DataFrame], remove: C
                     counts.append((x.count("\n") + 1 - (new.count("\n") + 1 if new else 0)) if spans else 0)
                 yield pa.record_batch([pa.array(out, pa.string()) if c == "text" else part.column(c) for c in kept] + [pa.array(counts, pa.int64())], schema.names)
 
-    return joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, schema)
+    return out if rest is None else out.unionByName(rest)
