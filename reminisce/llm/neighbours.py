@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,22 +89,18 @@ class Index:
         return total
 
 
-def train(vectors: DataFrame, sample_rows: int = 20_000, max_lists: int = 1024, recall: float = 0.985, k: int = 10, seed: int = 5) -> Index | None:
-    """The index's centroids and codebooks from the vectors of the smallest hashes of vec_id; None without any vector.
+def train(vectors: DataFrame, dim: int, n: int, sample_rows: int = 20_000, max_lists: int = 4096, recall: float = 0.985, k: int = 10, seed: int = 5) -> Index:
+    """The index's centroids and codebooks from those of n vectors of dim components with the smallest hashes of vec_id.
 
-    The dimension is the sample's most common. Probes are the fewest lists that hold `recall` of the sample's true
-    neighbours for 200 of its vectors, found by brute force within the sample. Lists follow the square root of
-    the number of vectors, up to max_lists.
+    Probes are the fewest lists that hold `recall` of the sample's true neighbours for 200 of its vectors, found by brute
+    force within the sample. Lists follow the square root of the number of vectors, up to max_lists, which the sample
+    bounds: it has sample_rows vectors, or 16 a list where that is more.
     """
-    n = vectors.count()
-    sample = bounded(vectors, "vec_id", sample_rows).select("embedding").toArrow()["embedding"].to_pylist()
-    if not sample:
-        return None
-    sizes = [len(x) for x in sample]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    x = np.unique(np.array([v for v in sample if len(v) == dim], np.float64), axis=0)
+    lists = int(np.clip(round(np.sqrt(n) / 4), 4, max_lists))
+    sample = bounded(vectors, "vec_id", max(sample_rows, 16 * lists)).select("embedding").toArrow()["embedding"]
+    x = np.unique(_matrix(sample, dim), axis=0)
     rng = np.random.default_rng(seed)
-    centroids = kmeans(x, int(np.clip(round(np.sqrt(n) / 4), 4, max_lists)), rng)
+    centroids = kmeans(x, lists, rng)
     edges = np.unique(np.linspace(0, dim, min(PARTS, dim) + 1).astype(int)).tolist()
     at = squared(x, centroids).argmin(1)
     rest = x - centroids[at]
@@ -126,7 +123,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def build(vectors: DataFrame, index: Index) -> DataFrame:
-    """vec_id, list, code, the code's error and the vector itself of every vector of the index's dimension."""
+    """vec_id, list, code, the code's error and the vector itself of every vector, all of the index's dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,35 +133,67 @@ def build(vectors: DataFrame, index: Index) -> DataFrame:
                 codes = index.encode(x, at)
                 yield pa.record_batch([batch.column("vec_id"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.errors(x, at, codes)), batch.column("embedding")], ["vec_id", "list", "code", "error", "embedding"])
 
-    return vectors.filter(F.size("embedding") == index.dim).mapInArrow(run, "vec_id long, list int, code binary, error double, embedding array<double>")
+    return vectors.mapInArrow(run, "vec_id long, list int, code binary, error double, embedding array<double>")
 
 
-def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, block_rows: int = 20_000, index: Index | None = None) -> DataFrame:
+def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, block_rows: int = 20_000, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, nearest first, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows with another vec_id. Rows with a null
-    id or an unusable vector (null, zero, with null or non-finite components, or not of the most common dimension)
-    take no part. A repeated vec_id is one candidate, at its smallest distance, and one query, by the smallest of its
-    vectors. Equal vectors are estimated once, so copies never crowd out others: the k + 1 smallest ids of each
+    id or an unusable vector (null, empty, zero, with null or non-finite components) take no part. Vectors of different
+    dimensions have no distance: each dimension has an index of its own, and a query finds vectors of its dimension.
+    A query that finds fewer than k in its nearest lists reads further ones, twice as many each time, until it has k or has
+    read them all. A repeated vec_id is one candidate, at its smallest distance, and one query a dimension, by the smallest
+    of its vectors. Equal vectors are estimated once, so copies never crowd out others: the k + 1 smallest ids of each
     distinct vector stay. Of each block of up to about block_rows, depth estimates are ranked exactly at first, and more until
-    the rest can't be among the k nearest: within the lists that are probed the result is exact.
+    the rest can't be among the k nearest: within the lists that are probed the result is exact. probes is how many lists a
+    query reads at first, by default as many as the sample asks for. An empty table gives none.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    index = index or train(vectors, k=k)
-    if index is None:
-        return rows.sparkSession.createDataFrame([], schema)
+    # a row a dimension
+    dims = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = []
+    for dim, n in sorted(dims.items()):
+        own = vectors.filter(F.size("embedding") == dim)
+        index = train(own, dim, n, k=k)
+        index.probes = min(probes or index.probes, len(index.centroids))
+        found.append(_found(own, index, every, k, depth, block_rows))
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(vectors: DataFrame, index: Index, every: int, k: int, depth: int, block_rows: int) -> DataFrame:
+    """query_id, vec_id, score: the k nearest of each query in each block that it reads."""
     table = cut(build(vectors, index), "ivf")
     sizes = {r["list"]: r["n"] for r in table.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list, max_lists at most
     blocks = [max(1, -(-sizes.get(i, 0) // block_rows)) for i in range(len(index.centroids))]
     count = F.element_at(F.array(*map(F.lit, blocks)), F.col("list") + 1)
     table = table.withColumn("block", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
     asked = table.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    begin, end, out = 0, index.probes, None
+    while True:
+        found = _probed(table, asked, index, sizes, blocks, begin, end, k, depth)
+        if end >= len(index.centroids):
+            return found if out is None else out.unionByName(found)
+        found = cut(found, "ivf-found")
+        out = found if out is None else out.unionByName(found)
+        enough = out.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+        asked = cut(asked.join(enough, "vec_id", "left_anti"), "ivf-short")
+        if asked.isEmpty():
+            return out
+        begin, end = end, min(2 * end, len(index.centroids))
+
+
+def _probed(table: DataFrame, asked: DataFrame, index: Index, sizes: dict[int, int], blocks: list[int], begin: int, end: int, k: int, depth: int) -> DataFrame:
+    """The k nearest of each query in each block of its lists begin..end-1, the nearest list being 0."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                probes = index.lists(_matrix(part.column("embedding"), index.dim), index.probes)
+                probes = index.lists(_matrix(part.column("embedding"), index.dim), end)[:, begin:]
                 take, at, block = [], [], []
                 for i, lists in enumerate(probes.tolist()):
                     for x in lists:
@@ -214,7 +243,4 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, bloc
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = table.groupBy("list", "block").cogroup(routed.groupBy("list", "block")).applyInArrow(probe, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return table.groupBy("list", "block").cogroup(routed.groupBy("list", "block")).applyInArrow(probe, "query_id long, vec_id long, score double")

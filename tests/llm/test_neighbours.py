@@ -40,10 +40,7 @@ def test_exact_with_all_lists(spark):
     x[100:400] = x[100]
     rows = [(i, x[i].tolist()) for i in range(600)]
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
-    vectors = df.selectExpr("vec_id", "cast(embedding as array<double>) as embedding")
-    index = N.train(vectors)
-    index.probes = len(index.centroids)
-    got = found(N.search(df, every=50, depth=600, block_rows=100, index=index))
+    got = found(N.search(df, every=50, depth=600, block_rows=100, probes=10_000))
     want = brute(rows, 50)
     assert {q: [(b, s) for _, b, s in v] for q, v in got.items()} == want
 
@@ -59,6 +56,18 @@ def test_jittered_copies(spark):
     assert hits / sum(map(len, want.values())) >= 0.95
 
 
+def test_small_lists_far_away(spark):
+    """A query in a list of a few vectors reads on until it has ten, or all there are; so does one of a rare dimension."""
+    rng = np.random.default_rng(4)
+    x = (np.repeat(rng.normal(size=(40, 8)), 150, axis=0) + rng.normal(size=(6000, 8)) * 0.01).tolist()
+    rows = list(enumerate(x, 1)) + [(100_000 + i, [1000.0 + i] + [0.0] * 7) for i in range(4)] + [(200_000 + i, [float(i + 1)] * 3) for i in range(5)] + [(200_003, [9.0, 9.0])]
+    got = found(N.search(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), probes=1))
+    want = brute([r for r in rows if len(r[1]) == 8])
+    assert [b for _, b, _ in got[100_000]][:3] == [a for a, _ in want[100_000]][:3] == [100_001, 100_002, 100_003]
+    assert all([r for r, _, _ in got[q]] == list(range(1, 11)) for q in want)
+    assert [(r, b) for r, b, _ in got[200_000]] == [(1, 200_001), (2, 200_002), (3, 200_003), (4, 200_004)]
+
+
 def test_unusable_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, None), (200, [0.0, 0.0]), (300, [float("nan"), 1.0]), (400, [1.0, None]), (500, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (10, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
