@@ -8,6 +8,7 @@ Scanning is a map over rows: no shuffle, no Python on the executors.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,36 +27,40 @@ SIZE = len(ALPHABET) + 1
 TOKEN, SHORTEST = r"[A-Za-z0-9+/_=-]", 16
 
 
-def _positions(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<s, e, v>>: begin and end of each match in code points, and a group's text.
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """join over the values up to each, by doubling steps: the array is copied once for each binary digit of its size."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1.0)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, values, lambda a, n: F.transform(a, lambda x, i: F.coalesce(join(x, F.get(a, i - n)), x)))
 
-    split() gives what lies between the matches, so a match begins after the gaps and matches before it.
+
+def _with_positions(df: DataFrame, patterns: dict[str, tuple[str, int]]) -> DataFrame:
+    """df (with the column text) with array<struct<s, e, v>> for each name of a pattern and group: begin and end of each match in code points, and the group.
+
+    split() gives what lies between the matches, so a match ends after the sum of the gaps and matches up to it. Each step
+    is a projection of its own, as its arrays are used several times.
     """
-    gaps, hits = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long")), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    sizes = F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("m"), groups.alias("v")), lambda x: F.struct(x["g"].alias("g"), F.length(x["m"]).cast("long").alias("n"), x["v"].alias("v")))
-    sizes = F.filter(sizes, lambda x: x["n"].isNotNull())
-    none = F.array().cast("array<struct<s:bigint,e:bigint,v:string>>")
-    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["e"], F.lit(0).cast("long"))
-    found = F.aggregate(sizes, none, lambda a, x: F.concat(a, F.array(F.struct((last(a) + x["g"]).alias("s"), (last(a) + x["g"] + x["n"]).alias("e"), x["v"].alias("v")))))
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    names = list(patterns)
+    inside = lambda p, x: F.when(F.col("text").rlike(p), x).otherwise(F.array().cast("array<string>"))
+    raw = df.select("*", *(inside(p, F.split("text", p, -1)).alias(f"{k}_gaps") for k, (p, _) in patterns.items()), *(inside(p, F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1))).alias(f"{k}_hits") for k, (p, _) in patterns.items()))
+    sized = raw.select(*df.columns, *(F.transform(F.arrays_zip(F.slice(f"{k}_gaps", 1, F.size(f"{k}_hits")).alias("g"), F.col(f"{k}_hits").alias("m")), lambda x: F.struct((F.length(x["g"]) + F.length(x["m"])).cast("long").alias("t"), F.length(x["m"]).cast("long").alias("n"), x["m"].alias("m"))).alias(k) for k in names))
+    ends = sized.select("*", *(_running(F.transform(k, lambda x: x["t"]), lambda x, y: x + y).alias(f"{k}_ends") for k in names))
+    value = lambda k, m: F.regexp_extract(m, *patterns[k]) if patterns[k][1] else m
+    made = lambda k: F.transform(F.arrays_zip(F.col(k).alias("x"), F.col(f"{k}_ends").alias("e")), lambda z: F.struct((z["e"] - z["x"]["n"]).alias("s"), z["e"].alias("e"), value(k, z["x"]["m"]).alias("v")))
+    return ends.select(*df.columns, *(made(k).alias(k) for k in names))
 
 
 def _span(kind: str):
     return lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"))
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """kind -> array<struct<s, e, v>> of the three patterns; a match that falls short is dropped, not searched again.
+#: name -> pattern and group. A match that falls short is dropped, not searched again: runs of hex digits are maximal, as are those
+#: that follow the first AKIA of a run, so asking for the least length within the pattern drops the same ones.
+BASE = {"assign": (ASSIGN, 2), "access": (f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 0), "hex": (f"[0-9a-f]{{{LEAST['hex']},}}", 0)}
 
-    Runs of hex digits are maximal, as are those that follow the first AKIA of a run, so asking for the least
-    length within the pattern drops the same ones.
-    """
-    return {
-        "assign": F.filter(_positions(text, ASSIGN, 2), lambda x: F.length(x["v"]) >= LEAST["assign"]),
-        "access": _positions(text, f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}"),
-        "hex": _positions(text, f"[0-9a-f]{{{LEAST['hex']},}}"),
-    }
+
+def _with_base(df: DataFrame, more: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """df with the spans of the three patterns, and of more."""
+    return _with_positions(df, BASE | (more or {})).withColumn("assign", F.filter("assign", lambda x: F.length(x["v"]) >= LEAST["assign"]))
 
 
 def _generated(spark: SparkSession, n: int) -> DataFrame:
@@ -74,11 +79,10 @@ def train(docs: DataFrame, sample_docs: int = 1000, generated: int = 2000, smoot
     """
     spark = docs.sparkSession
     sample = bounded(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "doc_id", sample_docs)
-    spans = base_spans(F.col("text"))
     value = lambda x: x["v"]
-    sample = sample.select("text", F.concat(*(F.transform(x, value) for x in spans.values())).alias("found"))
+    sample = _with_base(sample.select("text")).select("text", F.concat(*(F.transform(k, value) for k in BASE)).alias("found"))
     labelled = sample.select(F.explode("found").alias("token"), F.lit(1).alias("random"))
-    ordinary = sample.select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(f"({TOKEN}{{2,}})"), F.lit(1)), F.col("found"))).alias("token"), F.lit(0).alias("random")).filter(F.length("token") < 64)
+    ordinary = sample.select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(f"({TOKEN}{{2,}})"), F.lit(1)), F.col("found"))).alias("token"), F.lit(0).alias("random"))
     tokens = labelled.unionByName(_generated(spark, generated)).unionByName(ordinary)
     pairs = tokens.filter(F.length("token") >= 2).select("random", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i")).select("random", F.instr(F.lit(ALPHABET), F.col("token").substr(F.col("i"), F.lit(1))).alias("a"), F.instr(F.lit(ALPHABET), F.col("token").substr(F.col("i") + 1, F.lit(1))).alias("b"))
     counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -91,12 +95,12 @@ def train(docs: DataFrame, sample_docs: int = 1000, generated: int = 2000, smoot
     return model
 
 
-def markov_spans(text: Column, model: list[float], least: float, mean: float) -> Column:
-    """Tokens of SHORTEST characters or more whose summed ratio is at least `least` and `mean` a character."""
+def unlikely(tokens: Column, model: list[float], least: float, mean: float) -> Column:
+    """Those of array<struct<s, e, v>> whose summed ratio is at least `least` and `mean` a character."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
-    place = lambda token, i: F.instr(F.lit(ALPHABET), F.substring(token, 1, 1)) if i is None else F.instr(F.lit(ALPHABET), token.substr(i, F.lit(1)))
+    place = lambda token, i: F.instr(F.lit(ALPHABET), token.substr(i, F.lit(1)))
     score = lambda token: F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda total, i: total + F.element_at(table, place(token, i) * SIZE + place(token, i + 1) + 1))
-    return F.filter(_positions(text, f"{TOKEN}{{{SHORTEST},}}"), lambda x: score(x["v"]) >= F.greatest(F.lit(float(least)), F.length(x["v"]) * mean))
+    return F.filter(tokens, lambda x: score(x["v"]) >= F.greatest(F.lit(float(least)), F.length(x["v"]) * mean))
 
 
 def scan(docs: DataFrame, model: list[float], least: float = 12.0, mean: float = 0.6) -> DataFrame:
@@ -104,14 +108,19 @@ def scan(docs: DataFrame, model: list[float], least: float = 12.0, mean: float =
 
     spans are kind:start:end in code points, end exclusive, by start and then kind. A null text counts as empty, and
     a row without spans has an empty string. A Markov span that overlaps a base span isn't added. Repeated rows
-    give repeated rows; whole texts are read, and the arrays held for one row grow with that row's matches alone.
+    give repeated rows, an empty table an empty one; whole texts are read, other columns aren't. The arrays held for one
+    row grow with that row's matches alone, and the time with their number and its binary digits.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = base_spans(text)
-    df = docs.select("doc_id", *(x.alias(k) for k, x in base.items()), markov_spans(text, model, least, mean).alias("tokens"))
-    df = df.withColumn("base", F.array_sort(F.concat(*(F.transform(F.col(k), _span(k)) for k in base))))
-    clear = F.filter("tokens", lambda x: ~F.exists("base", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    df = df.withColumn("every", F.array_sort(F.concat("base", F.transform(clear, _span("markov")))))
+    df = _with_base(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), {"tokens": (f"{TOKEN}{{{SHORTEST},}}", 0)})
+    df = df.select("doc_id", *BASE, F.array_sort(F.concat(*(F.transform(F.col(k), _span(k)) for k in BASE))).alias("base"), unlikely(F.col("tokens"), model, least, mean).alias("tokens"))
+    # base spans at their begins and tokens at their ends, in order: the largest end so far tells if one reaches into a token
+    event = lambda at, side, s, e: F.struct(at.alias("at"), F.lit(side).alias("side"), s.alias("s"), e.alias("e"))
+    zero = F.lit(0).cast("long")
+    df = df.withColumn("events", F.array_sort(F.concat(F.transform("tokens", lambda x: event(x["e"], 0, x["s"], zero)), F.transform("base", lambda y: event(y["s"], 1, zero, y["e"])))))
+    df = df.withColumn("reach", F.when(F.size("tokens") > 0, _running(F.transform("events", lambda x: x["e"]), lambda x, y: F.greatest(x, y))).otherwise(F.array().cast("array<bigint>")))
+    clear = F.filter(F.arrays_zip("events", "reach"), lambda z: (z["events"]["side"] == 0) & (z["reach"] <= z["events"]["s"]))
+    found = F.transform(clear, lambda z: F.struct(z["events"]["s"].alias("s"), F.lit(KINDS.index("markov")).alias("k"), z["events"]["at"].alias("e")))
+    df = df.withColumn("every", F.when(F.size("tokens") > 0, F.array_sort(F.concat("base", found))).otherwise(F.col("base")))
     names = F.array(*map(F.lit, KINDS))
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
-    return df.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base), F.sha2(said("base"), 256).alias("base_sha256"), said("every").alias("spans"))
+    return df.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(said("base"), 256).alias("base_sha256"), said("every").alias("spans"))
