@@ -15,11 +15,13 @@ _WORD = re.compile(r"\w+")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. One of our own serves only where all run on one machine."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     context = spark.sparkContext
     if not (folder := context.getCheckpointDir()):
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="reminisce-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -32,6 +34,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them, so that helper columns never meet a user's."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """df's columns but those of these names, in any case."""
+    low = {x.lower() for x in names}
+    return [c for c in df.columns if c.lower() not in low]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: what follows doesn't recompute it when an executor is lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

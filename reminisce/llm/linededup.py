@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reminisce.llm.common import Hashes, by_key, cut, mix
+from reminisce.llm.common import Hashes, by_key, cut, fresh, mix, others
 
 MIN_WORDS = 50
 #: Bits of the bitmap of prints that occur more than once, and of each of the pieces it is made in.
@@ -301,52 +301,55 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(out)
 
 
-def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, least: int = MIN_WORDS, counted: str | None = "removed_lines") -> DataFrame:
     """docs with later copies of passages deleted from text, and removed_lines: how many lines went.
 
     A passage is a run of whole lines with `least` words or more, alike but for case and spacing. Its first occurrence, by
     doc_id (null last) and place, stays; within one text, a copy is later only if it begins after the first ends. Lines
     without words go with the passage around them. Rows that repeat both doc_id and text are one document, treated alike.
-    A null text stays null and an empty one empty; every row and the other columns stay.
+    A null text stays null and an empty one empty; every row and the other columns stay, but one named as `counted`, which
+    is replaced; with None nothing is counted and all columns stay. An empty table gives an empty one.
     """
-    return _without(docs, lambda slim: repeated(slim, least), remove)
+    return _without(docs, lambda slim: repeated(slim, least), remove, counted)
 
 
-def passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def passages(docs: DataFrame, least: int = MIN_WORDS, counted: str | None = "removed_lines") -> DataFrame:
     """docs with later copies of passages deleted from text, and removed_lines: how many lines went as a whole.
 
     A passage is a run of `least` words or more, alike but for case and spacing, wherever in a line it begins and ends. Its
     first occurrence, by doc_id (null last) and place, stays; within one text, a copy is later only if it begins after the
     first ends. Lines without words go with the words around them. Rows that repeat both doc_id and text are one document,
-    treated alike. A null text stays null and an empty one empty; every row and the other columns stay.
+    treated alike. A null text stays null and an empty one empty; every row and the other columns stay, but one named as
+    `counted`, which is replaced; with None nothing is counted and all columns stay. An empty table gives an empty one.
     """
-    return _without(docs, lambda slim: stretches(slim, least), remove_words, True)
+    return _without(docs, lambda slim: stretches(slim, least), remove_words, counted, True)
 
 
-def _without(docs: DataFrame, found: Callable[[DataFrame], DataFrame], remove: Callable[[str, list[tuple[int, int]]], str], sift: bool = False) -> DataFrame:
-    """docs without the spans that found(doc_id, text_hash, text) gives, and removed_lines. With sift, texts that no span can belong to aren't shuffled."""
-    kept = [c for c in docs.columns if c != "removed_lines"]
+def _without(docs: DataFrame, found: Callable[[DataFrame], DataFrame], remove: Callable[[str, list[tuple[int, int]]], str], counted: str | None, sift: bool = False) -> DataFrame:
+    """docs without the spans that found(doc_id, text_hash, text) gives. With sift, texts that no span can belong to aren't shuffled."""
+    kept = others(docs, counted) if counted else docs.columns
+    own, doc, which, gone, some = fresh(docs, "own", "doc", "which", "gone", "some")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    spans = found(slim).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    marked = docs.select(*kept, F.xxhash64(text).alias("_text_hash"))
+    spans = found(slim).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(which), F.col("spans").alias(gone))
+    marked = docs.select(*kept, F.xxhash64(text).alias(own))
     rest = None
     if sift:
-        marked = marked.withColumn("_some", _among(spans.select(F.col("_hash").alias("key")), F.col("_text_hash")))
-        rest = marked.filter("not _some").select(*kept, F.lit(0).cast("long").alias("removed_lines"))
-        marked = marked.filter("_some")
-    joined = marked.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left").select(*kept, "_spans")
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("removed_lines", T.LongType())])
+        marked = marked.withColumn(some, _among(spans.select(F.col(which).alias("key")), F.col(own)))
+        rest = marked.filter(~F.col(some)).select(*kept, *([F.lit(0).cast("long").alias(counted)] if counted else []))
+        marked = marked.filter(some)
+    joined = marked.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(which)), "left").select(*kept, gone)
+    schema = T.StructType([*(docs.schema[c] for c in kept), *([T.StructField(counted, T.LongType())] if counted else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 texts, out, counts = part.column("text").to_pylist(), [], []
-                for x, spans in zip(texts, part.column("_spans").to_pylist(), strict=True):
+                for x, spans in zip(texts, part.column(gone).to_pylist(), strict=True):
                     new = remove(x, [(s["first"], s["last"]) for s in spans]) if spans else x
                     out.append(new)
                     counts.append((x.count("\n") + 1 - (new.count("\n") + 1 if new else 0)) if spans else 0)
-                yield pa.record_batch([pa.array(out, pa.string()) if c == "text" else part.column(c) for c in kept] + [pa.array(counts, pa.int64())], schema.names)
+                yield pa.record_batch([pa.array(out, pa.string()) if c == "text" else part.column(c) for c in kept] + ([pa.array(counts, pa.int64())] if counted else []), schema.names)
 
     out = joined.mapInArrow(run, schema)
     return out if rest is None else out.unionByName(rest)

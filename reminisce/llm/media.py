@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reminisce.llm import gif
+from reminisce.llm.common import others
 
 #: Bytes of a row of pixels, and rows of a frame at most: 4 MB of payload a frame.
 WIDTH, HEIGHT = 64, 65_535
@@ -53,7 +54,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Columns of those names are replaced; others stay, text included in media alone.
     """
-    kept = [c for c in docs.columns if c not in (text, "n_bytes", "payload_bytes", "media")]
+    kept = others(docs, text, "n_bytes", "payload_bytes", "media")
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +73,7 @@ def media_columns(df: DataFrame, media: str = "media", pixels: bool = True) -> D
     A null, malformed or truncated stream has null frames and its fault in media_error; no row is lost.
     pixels=False leaves the drawn pixels out, for tables that need only times and histograms.
     """
-    kept = [c for c in df.columns if c not in ("frames", "duration_ms", "media_error")]
+    kept = others(df, "frames", "duration_ms", "media_error")
     frames = T._parse_datatype_string(FRAME)
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("frames", frames), T.StructField("duration_ms", T.LongType()), T.StructField("media_error", T.StringType())])
     kind = pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("disposal", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int64()))]))
@@ -104,9 +105,8 @@ def read_payloads(stored: DataFrame) -> DataFrame:
     feature: frames, then the payload's bytes by their high four bits, as the histogram of grey levels has them.
     The columns but media stay.
     """
-    kept = [c for c in stored.columns if c != "media"]
     new = [("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
-    kept = [c for c in kept if c not in dict(new)]
+    kept = others(stored, "media", *dict(new))
     schema = T.StructType([*(stored.schema[c] for c in kept), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new)])
 
     def one(media: bytes, size: int) -> tuple:
@@ -125,8 +125,6 @@ def read_payloads(stored: DataFrame) -> DataFrame:
 
 
 
-
-
 def media(docs: DataFrame) -> DataFrame:
     """doc_id, sizes, digests and feature of every text once stored as a GIF and read back. Repeated rows give repeated rows."""
     return read_payloads(store_texts(docs.select("doc_id", F.col("text").cast("string").alias("text"))))

@@ -4,7 +4,8 @@ Method: the sources' token shares are raised to an exponent, which is bisected u
 entropy or a repetition limit. The weights are realised as budgeted block permutations: every source's documents
 lie in blocks by hash, each source repeats whole as often as its quota allows, and for the rest its blocks are taken in
 permuted order until the quota is spent; in the block where it ends, documents are taken by hash.
-Only per-source and per-block sums are shuffled; the decision for a document is then a function of its row.
+Only per-source and per-block sums are shuffled, and the documents of one range of one block a source; the decision for
+a document is then a function of its row and its source's, so texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reminisce.llm.common import cut
+from reminisce.llm.common import cut, fresh, others
 
 #: Steps of the bisection: the exponent is found to 2**-40.
 STEPS = 40
-#: Rows of per-block or per-source decisions up to which they are broadcast; beyond, they are joined.
+#: Sources, of a few numbers each, up to which they are broadcast; beyond, they are joined.
 BROADCAST_ROWS = 200_000
+#: Bits of a place that tell apart the ranges of the block where a quota ends.
+PARTS = 10
 
 
 def _number(text: Column) -> Column:
@@ -64,14 +67,16 @@ def exponent(sums: DataFrame, budget: Column, max_repetition: float | None, entr
     return one.withColumn("exponent", F.round("exponent", 9)).select("total", "budget", "exponent", F.aggregate("p", F.lit(0.0), lambda a, p: a + F.pow(p, F.col("exponent"))).alias("norm"))
 
 
-def plan(docs: DataFrame, budget_tokens: int | None, max_repetition: float | None, entropy: float | None, blocks: int, seed: int) -> DataFrame:
-    """docs with n_tokens, weight of its source and copies: how often the mixture holds the row, 0 for not at all."""
+def _decisions(docs: DataFrame, budget_tokens: int | None, max_repetition: float | None, entropy: float | None, blocks: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """docs with n_tokens, weight of its source and copies under names that docs doesn't have, and those names."""
     key, words = source_key(F.col("source")), tokens(F.col("text"))
     name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    slim = docs.select(key.alias("key"), words.alias("mass"), F.pmod(_number(F.concat(F.lit(f"block-{seed}-"), name)), F.lit(blocks)).cast("int").alias("block"), _number(F.concat(F.lit(f"doc-{seed}-"), name)).alias("place"))
-    slim = cut(slim, "mix-slim")  # a few numbers a document, read three times
-    block_sums = slim.groupBy("key", "block").agg(F.sum("mass").alias("mass"))
-    block_sums = cut(block_sums, "mix-blocks")
+    block = F.pmod(_number(F.concat(F.lit(f"block-{seed}-"), name)), F.lit(blocks)).cast("int")
+    place = _number(F.concat(F.lit(f"doc-{seed}-"), name))
+    turn = lambda k, b: F.struct(_number(F.concat(F.lit(f"order-{seed}-"), k, F.lit("-"), b.cast("string"))).alias("order"), b.alias("block"))
+    # a few numbers a document, read three times
+    slim = cut(docs.select(key.alias("key"), words.alias("mass"), block.alias("block"), place.alias("place")), "mix-slim")
+    block_sums = cut(slim.groupBy("key", "block").agg(F.sum("mass").alias("mass")), "mix-blocks")
     sums = block_sums.groupBy("key").agg(F.sum("mass").alias("mass"))
     budget = F.col("total").cast("double") if budget_tokens is None else F.lit(float(budget_tokens))
     one = exponent(sums, budget, max_repetition, entropy)
@@ -79,21 +84,31 @@ def plan(docs: DataFrame, budget_tokens: int | None, max_repetition: float | Non
         "key", F.col("mass").alias("source_mass"), (F.pow(F.col("mass") / F.col("total"), F.col("exponent")) / F.col("norm")).alias("weight"), F.col("budget"))
     weights = weights.withColumn("quota", F.floor(F.col("weight") * F.col("budget") + 1e-6))
     weights = weights.select("key", F.round("weight", 9).alias("weight"), F.floor(F.col("quota") / F.col("source_mass")).cast("long").alias("full"), (F.col("quota") % F.col("source_mass")).cast("long").alias("rest"))
-    few = sums.count() * blocks <= BROADCAST_ROWS
-    small = F.broadcast if few else (lambda x: x)
-    order = Window.partitionBy("key").orderBy(_number(F.concat(F.lit(f"order-{seed}-"), "key", F.lit("-"), F.col("block").cast("string"))), "block")
-    ranked = block_sums.join(small(weights), "key").withColumn("until", F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("left", F.col("rest") - F.col("until") + F.col("mass"))  # of the quota when the block begins
-    ranked = ranked.select("key", "block", "weight", "full", F.when(F.col("until") <= F.col("rest"), "all").when(F.col("left") > 0, "part").otherwise("none").alias("take"), "left")
-    ranked = cut(ranked, "mix-ranked")
-    inside = slim.join(small(ranked.filter("take = 'part'").select("key", "block", "left")), ["key", "block"])
-    reach = Window.partitionBy("key").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
-    bounds = inside.withColumn("until", F.sum("mass").over(reach)).filter("until <= left").groupBy("key", "block").agg(F.max("place").alias("bound"))
-    decided = ranked.join(bounds, ["key", "block"], "left").select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("weight").alias("_weight"), F.col("full").alias("_full"), "take", "bound")
-    with_key = docs.withColumns({"_key": key, "_mass": words, "_block": F.pmod(_number(F.concat(F.lit(f"block-{seed}-"), name)), F.lit(blocks)).cast("int"), "_place": _number(F.concat(F.lit(f"doc-{seed}-"), name))})
-    out = with_key.join(small(decided), ["_key", "_block"])
-    taken = F.when(F.col("take") == "all", 1).when((F.col("take") == "part") & (F.col("_place") <= F.col("bound")), 1).otherwise(0)
-    return out.select(*(F.col(c) for c in docs.columns if c not in ("n_tokens", "weight", "copies")), F.col("_mass").alias("n_tokens"), F.col("_weight").alias("weight"), (F.col("_full") + taken).cast("long").alias("copies"))
+    small = F.broadcast if sums.count() <= BROADCAST_ROWS else (lambda x: x)
+    # the block where a source's quota ends, and what is left of it there
+    ranked = block_sums.join(small(weights), "key").withColumn("turn", turn(F.col("key"), F.col("block")))
+    until = F.sum("mass").over(Window.partitionBy("key").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ranked.withColumn("left", F.col("rest") - until + F.col("mass")).filter("left < mass").groupBy("key").agg(F.min_by("left", "turn").alias("left"), F.min("turn").alias("turn"))
+    ends = cut(ends.select("key", "turn", F.col("turn.block").alias("block"), "left"), "mix-ends")
+    # of that block, the range of places where it ends, and within the range the last document
+    inside = slim.join(small(ends.select("key", "block", "left")), ["key", "block"]).withColumn("part", F.shiftright("place", 60 - PARTS))
+    until = F.sum("mass").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    parts = inside.groupBy("key", "part", "left").agg(F.sum("mass").alias("mass")).withColumn("left", F.col("left") - until + F.col("mass")).filter("left < mass")
+    parts = parts.groupBy("key").agg(F.min_by("left", "part").alias("left"), F.min("part").alias("part"))
+    until = F.sum("mass").over(Window.partitionBy("key").orderBy("place").rangeBetween(Window.unboundedPreceding, 0))
+    last = inside.drop("left").join(small(parts), ["key", "part"]).withColumn("until", until).groupBy("key", "part").agg(F.max(F.when(F.col("until") <= F.col("left"), F.col("place"))).alias("bound"))
+    last = last.select("key", F.coalesce("bound", F.shiftleft("part", 60 - PARTS) - 1).alias("bound"))
+    k, w, full, end, bound, n, own, weight, copies = names = fresh(docs, "k", "w", "full", "end", "bound", "n", "own", "share", "times")
+    decided = weights.join(ends.select("key", "turn"), "key", "left").join(last, "key", "left").select(F.col("key").alias(k), F.col("weight").alias(w), F.col("full").alias(full), F.col("turn").alias(end), F.col("bound").alias(bound))
+    out = docs.withColumns({own: key, n: words}).join(small(cut(decided, "mix-sources")), F.col(own) == F.col(k))
+    mine = turn(F.col(own), block)
+    taken = F.when(F.col(end).isNull() | (mine < F.col(end)), 1).when((mine == F.col(end)) & (place <= F.col(bound)), 1).otherwise(0)
+    return out.select(*docs.columns, n, F.col(w).alias(weight), (F.col(full) + taken).cast("long").alias(copies)), [n, weight, copies]
+
+
+def _asked(max_repetition: float | None, entropy: float | None) -> None:
+    if (max_repetition is None) == (entropy is None):
+        raise ValueError("give max_repetition or entropy")
 
 
 def mix(docs: DataFrame, budget_tokens: int | None = None, max_repetition: float | None = 1.25, entropy: float | None = None, blocks: int = 1024, seed: int = 7) -> DataFrame:
@@ -102,17 +117,27 @@ def mix(docs: DataFrame, budget_tokens: int | None = None, max_repetition: float
     budget_tokens: tokens of the mixture, by default those of docs. Give max_repetition or entropy (a fraction of
     the largest). A source's copies hold at most its quota, and fall short of it by less than its next document.
     Null sources are one source; null and empty texts count as one token; rows that repeat a doc_id share its place in
-    the permutation, so they are taken together. Columns of docs stay, but those named as the new ones.
+    the permutation, so they are taken together. Columns of docs stay, but those named as the new ones, which are
+    replaced; an empty table gives an empty one.
     """
-    if (max_repetition is None) == (entropy is None):
-        raise ValueError("give max_repetition or entropy")
-    return plan(docs, budget_tokens, max_repetition, entropy, blocks, seed)
+    _asked(max_repetition, entropy)
+    new = ("n_tokens", "weight", "copies")
+    out, names = _decisions(docs, budget_tokens, max_repetition, entropy, blocks, seed)
+    return out.select(*others(docs, *new), *(F.col(a).alias(b) for a, b in zip(names, new, strict=True)))
+
+
+def mixture(docs: DataFrame, budget_tokens: int | None = None, max_repetition: float | None = 1.25, entropy: float | None = None, blocks: int = 1024, seed: int = 7) -> DataFrame:
+    """The mixture itself: each row of docs as many times as mix() would say, with all columns of docs and no others."""
+    _asked(max_repetition, entropy)
+    out, (_, _, copies) = _decisions(docs, budget_tokens, max_repetition, entropy, blocks, seed)
+    (each,) = fresh(out, "each")
+    return out.filter(F.col(copies) > 0).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def realise(mixed: DataFrame) -> DataFrame:
-    """The mixture itself: each row as many times as its copies say, without the columns that mix() added."""
-    columns = [c for c in mixed.columns if c not in ("n_tokens", "weight", "copies")]
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    """Each row of what mix() gave as many times as its copies say, without the columns that mix() added."""
+    columns, (each,) = others(mixed, "n_tokens", "weight", "copies"), fresh(mixed, "each")
+    return mixed.filter("copies > 0").withColumn(each, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
 
 
 #: The same in DuckDB, with the query's parameters.

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reminisce.llm.common import Hashes, by_key, components, cut, mix, shingles, words
+from reminisce.llm.common import Hashes, by_key, components, cut, fresh, mix, shingles, words
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, BLOCK, CHUNK = 32, 5, 256, 32
@@ -228,16 +228,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class: that of the smallest doc_id; rows that repeat it go too. Columns stay as they are."""
-    found = cut(join(docs, threshold).filter("grouped").select("doc_id", "text_hash", "keep"), "join-decided")
-    gone = found.filter("not keep").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    again = found.filter("keep").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    """docs with one document of each class: that of the smallest doc_id; rows that repeat it go too. Columns stay as they are.
+
+    A blank or null text is a class of its own and stays; a null doc_id stays only where its class has no other.
+    """
+    own, doc, which, times = fresh(docs, "own", "doc", "which", "times")
+    found = cut(join(docs, threshold).filter("grouped").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(which), "keep"), "join-decided")
+    gone = found.filter("not keep").select(doc, which).distinct()
+    again = found.filter("keep").groupBy(doc, which).agg(F.count(F.lit(1)).alias(times)).filter(F.col(times) > 1).drop(times)
     small = found.count() <= BROADCAST_ROWS
     side = (lambda x: F.broadcast(x)) if small else (lambda x: x)
-    row = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = docs.withColumn("_text_hash", row)
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(which))
     stay = marked.join(side(gone), on, "left_anti")
     if again.limit(1).count():
-        stay = stay.join(side(again), on, "left_anti").unionByName(stay.join(side(again), on, "left_semi").dropDuplicates(["doc_id", "_text_hash"]))
-    return stay.drop("_text_hash")
+        stay = stay.join(side(again), on, "left_anti").unionByName(stay.join(side(again), on, "left_semi").dropDuplicates(["doc_id", own]))
+    return stay.drop(own)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reminisce.llm.common import others
+
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SHORT = (2, 1)
@@ -79,10 +81,10 @@ class Pieces:
 
 
 class Encoder:
-    """Paths of words; the first `bound` of them are remembered, which holds the common ones."""
+    """Paths of words; the first that fit into `room` bytes are remembered, which holds the common ones, and `bound` pairs of pieces."""
 
-    def __init__(self, pieces: Pieces, bound: int = 200_000):
-        self.pieces, self.bound = pieces, bound
+    def __init__(self, pieces: Pieces, room: int = 24_000_000, bound: int = 100_000):
+        self.pieces, self.room, self.bound = pieces, room, bound
         sizes: dict[str, set[int]] = {}
         for x in pieces.ids:
             if len(x) > 2:
@@ -189,7 +191,10 @@ class Encoder:
                 i = self.pieces.ids.get(piece)
                 ids += [i] if i is not None else self.pieces.spell(piece)
             found = np.array(ids, np.int32).tobytes()
-            if len(self.known) < self.bound:
+            # the entry, its key of up to four bytes a character and its value, with what the objects take besides
+            size = 220 + 4 * len(word) + len(found)
+            if size <= self.room:
+                self.room -= size
                 self.known[word] = found
         return found
 
@@ -209,9 +214,11 @@ def decode_ids(ids: list[int], raw: list[bytes]) -> str:
 
 def _encoder(pieces: Pieces) -> Encoder:
     """The encoder of this Python worker, kept for its later tasks: its tables only remember, and are bounded."""
-    import pyspark
+    import sys
+    from types import ModuleType
 
-    key, kept = (len(pieces.ids), hash(tuple(pieces.raw))), pyspark.__dict__.setdefault("_reminisce_encoders", {})
+    # a module of the worker's own: this one travels by value, so its globals end with a task
+    key, kept = (len(pieces.ids), hash(tuple(pieces.raw))), sys.modules.setdefault("_reminisce_encoders", ModuleType("_reminisce_encoders")).__dict__.setdefault("kept", {})
     if key not in kept:
         kept.clear()
         kept[key] = Encoder(pieces)
@@ -225,7 +232,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     spaces; that counts as a round trip. Every row is kept, repeated ones too; other columns stay, but those named so.
     """
     new = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "round_trip": T.BooleanType()}
-    kept = [c for c in docs.columns if c != text and c not in new]
+    kept = others(docs, text, *new)
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(k, v) for k, v in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +252,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
     """encoded with the column text from its ids; null ids give a null text. Ids outside the vocabulary raise an error."""
     raw = pieces.raw
-    kept = [c for c in encoded.columns if c != "text"]
+    kept = others(encoded, "text")
     schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reminisce.llm.common import cut
+from reminisce.llm.common import cut, fresh, others
 from reminisce.llm.samples import held_out, labelled
 
 #: Bins of the raw score, 0.001 wide, from -1 to 2.
 BINS, LOW, HIGH = 3000, -1.0, 2.0
+#: The least score of a document that is kept.
+LEAST = 0.3
 PLAIN = frozenset(".,;:?!'\"()-")
 
 
@@ -142,18 +144,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, features:
     return model
 
 
-def score(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """docs with held_out, score and predicted (1 if the score is at least `least`), one row for each row.
 
-    Null texts count as empty, and empty texts have a score too. Columns of docs stay, but those named as the new ones.
+    Null texts count as empty, and empty texts have a score too. Columns of docs stay, but those named as the new ones,
+    which are replaced. Repeated rows are scored each, equal texts alike; an empty table gives an empty one.
     """
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    kept, (held,) = others(docs, "held_out", "score", "predicted"), fresh(docs, "held")
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                found = model.score(np.array([statistics(x) for x in part.column("text").to_pylist()]).reshape(part.num_rows, -1))
-                yield pa.record_batch([*(part.column(c) for c in kept), part.column("_held"), pa.array(found), pa.array((found >= least).astype(np.int32))], schema.names)
+        for part, found in _scored(batches, model):
+            yield pa.record_batch([*(part.column(c) for c in kept), part.column(held), pa.array(found), pa.array((found >= least).astype(np.int32))], schema.names)
+
+    return docs.select(*kept, held_out(F.col("doc_id")).alias(held)).mapInArrow(run, schema)
+
+
+def accept(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
+    """The rows of docs whose text scores `least` or more, with all their columns and no others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _scored(batches, model):
+            yield part.filter(pa.array(found >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
 
-    return docs.select(*kept, held_out(F.col("doc_id")).alias("_held")).mapInArrow(run, schema)
+def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in batches:
+        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            yield part, model.score(np.array([statistics(x) for x in part.column("text").to_pylist()]).reshape(part.num_rows, -1))

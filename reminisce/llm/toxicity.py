@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reminisce.llm.common import words
+from reminisce.llm.common import others, words
 from reminisce.llm.samples import labelled
 
 GRADES = 4
@@ -140,7 +140,7 @@ def grade(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     Null texts count as empty. Columns of docs stay, but those named as the new ones.
     """
     new = [("severity", T.DoubleType()), ("p_toxic", T.DoubleType()), ("grade", T.IntegerType()), ("toxic", T.IntegerType())]
-    kept = [c for c in docs.columns if c not in dict(new)]
+    kept = others(docs, *dict(new))
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, t) for n, t in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
