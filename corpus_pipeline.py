@@ -20,13 +20,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents with a quality score of at least 0.3, by a model fitted on labels of documents that aren't held out."""
     small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter("predicted = 1").drop("held_out", "score", "predicted")
+    return quality.accept(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages, and their new n_chars. Every document stays, some with an empty text."""
     small_batches(spark)
-    return linededup.passages(docs).drop("removed_lines").withColumn("n_chars", F.length("text").cast("long"))
+    return linededup.passages(docs, counted=None).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture that fills as many tokens as there are, no source repeated more than 1.25 times."""
     small_batches(spark)
-    return mixing.realise(mixing.mix(docs))
+    return mixing.mixture(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
