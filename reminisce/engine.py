@@ -51,7 +51,7 @@ class Engine:
     def describe(self, summary_id: str) -> DataFrame:
         return dag.describe(self.compact()).filter(F.col("summary_id") == summary_id)
 
-    def expand(self, summary_ids: list[str], token_cap: int = 4000, include_messages: bool = True, max_depth: int = 3) -> DataFrame:
+    def expand(self, summary_ids: list[str], token_cap: int = 4000, include_messages: bool = True, max_depth: int | None = None) -> DataFrame:
         store = self.compact()
         return dag.expand(store, store.summaries.filter(F.col("summary_id").isin(summary_ids)), token_cap, include_messages, max_depth)
 
@@ -60,7 +60,7 @@ class Engine:
         store = self.compact()
         hits = self.grep(query, "summaries", limit=limit).select(F.col("id").alias("summary_id"))
         leaves = dag.leaves_of_messages(self.grep(query, "messages", limit=limit).select(F.col("id").cast("long").alias("message_id")), store).select("summary_id")
-        return dag.expand(store, hits.unionByName(leaves).distinct(), token_cap, True, 3)
+        return dag.expand(store, hits.unionByName(leaves).distinct(), token_cap)
 
     def status(self) -> DataFrame:
         return status.totals(self.compact(), self.conversations)

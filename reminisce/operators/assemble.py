@@ -45,7 +45,7 @@ def assemble(store: Store, budget: int, n: int, cap: int | None = None) -> DataF
     return tail.split_budget(r, budget, n, cap).filter("selected").select("conversation_id", "ordinal", "item_type", "message_id", "summary_id", "token_count", "in_tail")
 
 
-def overlay(store: Store, watermark: DataFrame, max_depth: int = 4) -> DataFrame:
+def overlay(store: Store, watermark: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Context items where the summaries up to a conversation's watermark (conversation_id, covered_seq, brief_id) are one item, at the first's place."""
     reach = dag.reachable(store, max_depth).select("summary_id", F.col("last_seq").alias("max_seq"))
     items = store.context_items.join(reach, "summary_id", "left").join(watermark, "conversation_id", "left").withColumn("covered", F.coalesce(F.col("max_seq") <= F.col("covered_seq"), F.lit(False)))
@@ -53,9 +53,9 @@ def overlay(store: Store, watermark: DataFrame, max_depth: int = 4) -> DataFrame
     return items.filter("not covered").select("conversation_id", "ordinal", "item_type", "message_id", "summary_id").unionByName(first)
 
 
-def watermarks(store: Store, summary_ids: DataFrame, max_depth: int = 4) -> DataFrame:
+def watermarks(store: Store, summary_ids: DataFrame, max_depth: int | None = None) -> DataFrame:
     """summary_id, covered_latest_at, covered_message_seq over all that the summary reaches."""
-    nodes = dag.walk(store.summary_edges, summary_ids, max_depth).select(F.col("root").alias("summary_id"), "node").distinct()
+    nodes = dag.closure(store.summary_edges, summary_ids, max_depth=max_depth).select(F.col("root").alias("summary_id"), "node")
     t = nodes.join(store.summaries.select(F.col("summary_id").alias("node"), "latest_at"), "node").groupBy("summary_id").agg(F.max("latest_at").alias("covered_latest_at"))
     q = nodes.join(store.summary_messages.withColumnRenamed("summary_id", "node"), "node").join(store.messages.select("message_id", "seq"), "message_id").groupBy("summary_id").agg(F.max("seq").alias("covered_message_seq"))
     return t.join(q, "summary_id", "left")

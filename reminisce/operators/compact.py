@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reminisce.functions.text import estimate_tokens, format_seconds, one_line, summary_id
+from reminisce.operators.streamed import carried
 from reminisce.operators.tail import runtime_tail
 from reminisce.sources.scratch import keep
 
@@ -28,24 +31,24 @@ class Store:
     context_items: DataFrame
 
 
-def chunk_numbers(tokens: Column, threshold: int) -> Column:
-    """For an array of token counts, the chunk of each: a chunk ends before it would exceed the threshold, or on reaching it."""
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+def chunker(threshold: int) -> Callable[[tuple | None, int], tuple]:
+    """A step of a fold over token counts: a chunk ends before it would exceed the threshold, or on reaching it."""
 
-    def step(a: Column, t: Column) -> Column:
-        fresh = (F.size(a["out"]) > 0) & ((a["sum"] + t > threshold) | (a["sum"] >= threshold))
-        chunk = F.when(fresh, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(fresh, t).otherwise(a["sum"] + t).alias("sum"), F.concat(a["out"], F.array(chunk)).alias("out"))
+    def step(state: tuple | None, tokens: int) -> tuple:
+        if state is None:
+            return (0, tokens), 0
+        chunk, total = state
+        if total + tokens > threshold or total >= threshold:
+            return (chunk + 1, tokens), chunk + 1
+        return (chunk, total + tokens), chunk
 
-    return F.aggregate(tokens, start, step)["out"]
+    return step
 
 
 def leaf_chunks(messages: DataFrame, threshold: int, tail: int, cap: int | None = None) -> DataFrame:
     """message_id, conversation_id, seq, chunk of each message outside the fresh tail."""
-    outside = runtime_tail(messages, tail, cap).filter("not in_tail")
-    grouped = outside.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("seq", "message_id", F.col("token_count").cast("long").alias("t")))).alias("m"))
-    grouped = grouped.withColumn("c", chunk_numbers(F.transform("m", lambda x: x["t"]), threshold))
-    return grouped.select("conversation_id", F.explode(F.arrays_zip("m", "c")).alias("x")).select("conversation_id", F.col("x.m.seq").alias("seq"), F.col("x.m.message_id").alias("message_id"), F.col("x.c").cast("long").alias("chunk"))
+    outside = runtime_tail(messages, tail, cap).filter("not in_tail").select("message_id", "conversation_id", "seq", F.coalesce("token_count", F.lit(0)).cast("long").alias("t"))
+    return carried(outside, "conversation_id", ["seq", "message_id"], ["t"], chunker(threshold), "chunk", T.LongType()).drop("t")
 
 
 def evaluate(messages: DataFrame, budget: int, threshold: float, observed: DataFrame | None = None) -> DataFrame:
@@ -78,8 +81,8 @@ def describe(n: Column, noun: str, earliest: Column, latest: Column, head: Colum
 
 
 def leaf_pass(messages: DataFrame, threshold: int, tail: int, summarize: Callable[..., Column] = describe) -> tuple[DataFrame, DataFrame]:
-    """The leaf summaries and their links to messages."""
-    chunks = leaf_chunks(messages, threshold, tail).join(messages.drop("conversation_id", "seq"), "message_id")
+    """The leaf summaries and their links to messages; the chunks of both are found once, and written."""
+    chunks = keep(leaf_chunks(messages, threshold, tail), "chunks").join(messages.drop("conversation_id", "seq"), "message_id")
     g = chunks.groupBy("conversation_id", "chunk").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min("created_at").alias("earliest_at"), F.max("created_at").alias("latest_at"),
         F.sum("token_count").alias("source_message_token_count"), F.min_by("content", "seq").alias("head"))
@@ -106,20 +109,29 @@ def condensed_pass(summaries: DataFrame, depth: int, fanout: int, summarize: Cal
     return out, edges
 
 
-def sweep(messages: DataFrame, threshold: int = 150, tail: int = 2, fanout: int = 2, depths: int = 2) -> Store:
-    """Leaf and condensed passes over every conversation, and the context that is left: newest-depth summaries, then the tail."""
-    summaries, links = leaf_pass(messages, threshold, tail)
-    edges = None
-    for depth in range(depths):
-        more, e = condensed_pass(summaries, depth, fanout)
-        summaries = summaries.unionByName(more)
-        edges = e if edges is None else edges.unionByName(e)
+def sweep(messages: DataFrame, threshold: int = 150, tail: int = 2, fanout: int = 2, depths: int | None = None) -> Store:
+    """Leaf and condensed passes over every conversation, and the context that is left: newest-depth summaries, then the tail.
+
+    Passes go on until no conversation has two summaries of a depth, or for so many depths. Each pass is written once and
+    is what the next reads.
+    """
+    leaves, links = leaf_pass(messages, threshold, tail)
+    levels, links = [keep(leaves, "summaries")], keep(links, "summary_messages")
+    edges = [levels[0].select(F.col("summary_id").alias("derived_id"), F.col("summary_id").alias("source_id"), F.lit(0).cast("long").alias("ordinal")).limit(0)]
+    while depths is None or len(levels) <= depths:
+        more, e = condensed_pass(levels[-1], len(levels) - 1, fanout)
+        more = keep(more, "summaries")
+        if more.isEmpty():
+            break
+        levels.append(more)
+        edges.append(keep(e, "summary_edges"))
+    summaries, edges = reduce(DataFrame.unionByName, levels), reduce(DataFrame.unionByName, edges[1:] or edges)
     return Store(messages, summaries, links, edges, context(messages, summaries, edges, links))
 
 
 def kept(store: Store) -> Store:
-    """The store with its derived tables written once, for walks that read them many times."""
-    return Store(store.messages, *(keep(getattr(store, k), k) for k in ("summaries", "summary_messages", "summary_edges", "context_items")))
+    """The store with its context written once, for what reads it several times; the other tables are written already."""
+    return Store(store.messages, store.summaries, store.summary_messages, store.summary_edges, keep(store.context_items, "context_items"))
 
 
 def context(messages: DataFrame, summaries: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:

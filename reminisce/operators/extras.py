@@ -66,11 +66,12 @@ def markers_by_conversation(marked: DataFrame, kinds: list[str]) -> DataFrame:
     return marked.filter("marker is not null").groupBy("conversation_id").pivot("marker", kinds).count().fillna(0)
 
 
-def expand_sharing(store: Store, roots: DataFrame, token_cap: int, max_depth: int = 4) -> DataFrame:
+def expand_sharing(store: Store, roots: DataFrame, token_cap: int, max_depth: int | None = None) -> DataFrame:
     """request, place, root, node, token_count: several roots of a request (request, position, summary_id) expanded one after another under one cap."""
-    below = dag.walk(store.summary_edges, roots.select("summary_id").distinct(), max_depth).filter("level > 0").join(store.summaries.select(F.col("summary_id").alias("node"), "token_count"), "node")
+    tokens = store.summaries.select(F.col("summary_id").alias("node"), "token_count")
+    below = dag.walk(store.summary_edges, roots.select("summary_id").distinct(), max_depth, tokens=tokens, token_cap=token_cap).filter("level > 0").join(tokens, "node")
     j = roots.withColumnRenamed("summary_id", "root").join(below, "root")
-    w = Window.partitionBy("request").orderBy("position", "path")
+    w = Window.partitionBy("request").orderBy("position", "places")
     j = j.withColumn("cum", F.sum("token_count").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w).cast("long"))
     return j.filter(F.col("cum") <= token_cap).select("request", "place", "root", "node", "token_count")
 

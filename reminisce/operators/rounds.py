@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reminisce.operators import compact, status
 from reminisce.operators.maintain import retry_after
+from reminisce.sources.scratch import keep
 
 
 def prefix_target(budget: int, threshold: float, chunk: int, condensed_target: int, configured: int | None = None) -> int:
@@ -19,20 +20,25 @@ def prefix_target(budget: int, threshold: float, chunk: int, condensed_target: i
     return max(condensed_target, min(chunk, int(max(1, int(threshold * budget)) * 0.5)))
 
 
+def _kept(messages: DataFrame, summaries: DataFrame, links: DataFrame, edges: DataFrame) -> compact.Store:
+    summaries, links, edges = keep(summaries, "summaries"), keep(links, "summary_messages"), keep(edges, "summary_edges")
+    return compact.kept(compact.Store(messages, summaries, links, edges, compact.context(messages, summaries, edges, links)))
+
+
 def until_under(messages: DataFrame, budget: int, threshold: int = 150, tail: int = 2, fanout: int = 2, max_rounds: int = 10) -> tuple[compact.Store, int]:
     """(store, rounds): leaves for conversations above the budget, then a condensed depth a round, until all fit or none moves."""
     over = compact.evaluate(messages, budget, 1.0).filter("should_compact").select("conversation_id")
     big = messages.join(over, "conversation_id", "left_semi")
     summaries, links = compact.leaf_pass(big, threshold, tail)
     edges = summaries.select(F.lit("").alias("derived_id"), F.lit("").alias("source_id"), F.lit(0).cast("long").alias("ordinal")).limit(0)
-    store = compact.kept(compact.Store(messages, summaries, links, edges, compact.context(messages, summaries, edges, links)))
+    store = _kept(messages, summaries, links, edges)
     for depth in range(max_rounds):
         still = status.context_tokens(store).filter(F.col("context_tokens") > budget).select("conversation_id")
         more, e = compact.condensed_pass(store.summaries.join(still, "conversation_id", "left_semi"), depth, fanout)
         if not more.limit(1).count():
             return store, depth + 1
         summaries, edges = store.summaries.unionByName(more), store.summary_edges.unionByName(e)
-        store = compact.kept(compact.Store(messages, summaries, store.summary_messages, edges, compact.context(messages, summaries, edges, store.summary_messages)))
+        store = _kept(messages, summaries, store.summary_messages, edges)
     return store, max_rounds
 
 

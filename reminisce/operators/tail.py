@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from reminisce.operators.streamed import carried
 
 
 def _newest(key: str, order: str) -> Window:
@@ -54,15 +57,11 @@ def split_budget(df: DataFrame, budget: int, n: int, cap: int | None = None) ->
     return t.withColumn("older", older).withColumn("selected", F.col("in_tail") | (F.col("older") <= F.col("left")))
 
 
-def skip_pack(items: Column, budget: Column) -> Column:
-    """Ids of array<struct<tokens, id>>, taken in order where they fit the budget; one that doesn't is skipped."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = a["sum"] + x["tokens"] <= budget
-        return F.struct(F.when(fits, a["sum"] + x["tokens"]).otherwise(a["sum"]).alias("sum"), F.when(fits, F.concat(a["ids"], F.array(x["id"]))).otherwise(a["ids"]).alias("ids"))
-
-    return F.aggregate(items, start, step)["ids"]
+def packer(used: int | None, tokens: int, budget: int) -> tuple[int, bool]:
+    """A step of a fold over items in order: each is taken where it fits what is left of the budget, and skipped otherwise."""
+    used = used or 0
+    fits = used + tokens <= budget
+    return used + tokens if fits else used, fits
 
 
 def prompt_terms(prompt: str) -> list[str]:
@@ -80,14 +79,10 @@ def relevance(content: Column, prompt: str) -> Column:
 
 
 def prompt_aware(df: DataFrame, prompt: str, budget: int, n: int) -> DataFrame:
-    """Rows kept when the prompt decides: the tail, and older rows by relevance, newer first among equals, skipping what doesn't fit.
-
-    Packing folds one array a conversation, so its items must fit in a task.
-    """
-    t = runtime_tail(df, n).withColumn("score", relevance(F.col("content"), prompt))
-    spent = t.groupBy("conversation_id").agg(
-        F.sum(F.when(F.col("in_tail"), F.col("token_count")).otherwise(0)).alias("spent"),
-        F.array_sort(F.collect_list(F.when(~F.col("in_tail"), F.struct((-F.col("score")).alias("s"), (-F.col("seq")).alias("q"), F.col("token_count").alias("tokens"), F.col("message_id").alias("id"))))).alias("items"),
-    )
-    chosen = spent.select("conversation_id", skip_pack(F.col("items"), F.greatest(F.lit(0), budget - F.col("spent"))).alias("ids"))
-    return t.join(chosen, "conversation_id").filter(F.col("in_tail") | F.array_contains("ids", F.col("message_id"))).drop("ids", "rank", "cum")
+    """Rows kept when the prompt decides: the tail, and older rows by relevance, newer first among equals, skipping what doesn't fit."""
+    t = runtime_tail(df, n).withColumn("score", relevance(F.col("content"), prompt)).drop("rank", "cum")
+    spent = F.sum(F.when(F.col("in_tail"), F.col("token_count")).otherwise(0)).over(Window.partitionBy("conversation_id"))
+    t = t.withColumn("_left", F.greatest(F.lit(0), budget - spent).cast("long"))
+    slim = t.filter("not in_tail").select("conversation_id", "message_id", "seq", "score", F.col("token_count").cast("long").alias("tokens"), "_left")
+    taken = carried(slim, "conversation_id", [F.desc("score"), F.desc("seq")], ["tokens", "_left"], packer, "taken", T.BooleanType()).filter("taken").select("message_id")
+    return t.filter("in_tail").unionByName(t.filter("not in_tail").join(taken, "message_id", "left_semi")).drop("_left")

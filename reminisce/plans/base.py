@@ -56,6 +56,9 @@ d{depth + 1} AS (SELECT summary_id, conversation_id, 'condensed' AS kind, {depth
 e{depth} AS (SELECT h{depth}.summary_id AS derived_id, p{depth}.summary_id AS source_id, (p % 2)::BIGINT AS ordinal FROM p{depth} JOIN h{depth} ON p{depth}.conversation_id = h{depth}.conversation_id AND p{depth}.p // 2 = h{depth}.chunk)"""
 
 
+#: Depths of condensed summaries in the oracles: enough for 2 ** DEPTHS leaves in a conversation.
+DEPTHS = 4
+
 #: messages m, summaries s, links k, edges e, context x, as compact.sweep() makes them with its defaults.
 STORE = f"""WITH RECURSIVE {MESSAGES},
 {tail(2, name='tt')},
@@ -71,10 +74,9 @@ l AS (
 l2 AS (SELECT *, 'sum_' || substr(md5(conversation_id || '|0|' || first_seq || '|' || last_seq), 1, 16) AS summary_id, {_describe('messages', 'head')} AS content FROM l),
 d0 AS (SELECT summary_id, conversation_id, 'leaf' AS kind, 0::BIGINT AS depth, content, {est('content')} AS token_count, earliest_at, latest_at, 0::BIGINT AS descendant_count, 0::BIGINT AS descendant_token_count, source_message_token_count, first_seq, last_seq FROM l2),
 k AS (SELECT summary_id, message_id, (row_number() OVER (PARTITION BY f.conversation_id, f.chunk ORDER BY f.seq) - 1)::BIGINT AS ordinal FROM f JOIN l2 ON f.conversation_id = l2.conversation_id AND f.chunk = l2.chunk),
-{_condense(0)},
-{_condense(1)},
-s AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2),
-e AS (SELECT * FROM e0 UNION ALL SELECT * FROM e1),
+{",".join(map(_condense, range(DEPTHS)))},
+s AS ({" UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(DEPTHS + 1))}),
+e AS ({" UNION ALL ".join(f"SELECT * FROM e{i}" for i in range(DEPTHS))}),
 x AS (
   SELECT conversation_id, (row_number() OVER (PARTITION BY conversation_id ORDER BY pos) - 1)::BIGINT AS ordinal, item_type, message_id, summary_id
   FROM (SELECT conversation_id, first_seq AS pos, 'summary' AS item_type, NULL::BIGINT AS message_id, summary_id FROM s WHERE summary_id NOT IN (SELECT source_id FROM e)
@@ -85,7 +87,7 @@ WALK = STORE + """,
 w AS (
   SELECT summary_id AS root, summary_id AS node, 0::BIGINT AS level, '' AS path FROM s
   UNION ALL
-  SELECT w.root, e.source_id, w.level + 1, w.path || '.' || lpad(e.ordinal::VARCHAR, 4, '0') FROM w JOIN e ON e.derived_id = w.node)"""
+  SELECT w.root, e.source_id, w.level + 1, w.path || '.' || format('{:04d}', e.ordinal) FROM w JOIN e ON e.derived_id = w.node)"""
 
 CONTEXT = STORE + """,
 r AS (SELECT x.conversation_id, x.ordinal, x.item_type, x.message_id, x.summary_id, coalesce(m.token_count, s.token_count, 0) AS token_count, coalesce(m.content, s.content) AS content, coalesce(m.role, 'summary') AS role, s.depth

@@ -61,7 +61,7 @@ SELECT request, place, root, node, token_count FROM (SELECT *, row_number() OVER
 def expand_sharing(spark, sf_dir):
     s = kept(spark, sf_dir)
     roots = s.summaries.filter("depth = 1").select(F.col("conversation_id").alias("request"), F.col("first_seq").alias("position"), "summary_id")
-    return extras.expand_sharing(s, roots, 100, 3)
+    return extras.expand_sharing(s, roots, 100)
 
 
 @query("depth_chunk", f"""{STORE}, j AS (SELECT x.*, coalesce(s.depth = 0, false) AS i, s.token_count AS t FROM x LEFT JOIN s ON s.summary_id = x.summary_id),

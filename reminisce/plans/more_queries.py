@@ -123,7 +123,7 @@ def focus_active(spark, sf_dir):
 SELECT conversation_id, sum(token_count)::BIGINT AS tokens FROM (SELECT DISTINCT m.conversation_id, message_id, token_count FROM w JOIN k ON k.summary_id = w.node JOIN m USING (message_id)) GROUP BY 1""")
 def coverage_tokens(spark, sf_dir):
     s = kept(spark, sf_dir)
-    nodes = dag.walk(s.summary_edges, s.context_items.filter("summary_id is not null").select("summary_id"), 3).select(F.col("node").alias("summary_id")).distinct()
+    nodes = dag.closure(s.summary_edges, s.context_items.filter("summary_id is not null").select("summary_id")).select(F.col("node").alias("summary_id")).distinct()
     covered = nodes.join(s.summary_messages, "summary_id").select("message_id").distinct()
     return s.messages.join(covered, "message_id").groupBy("conversation_id").agg(F.sum("token_count").alias("tokens"))
 

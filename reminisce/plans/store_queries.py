@@ -225,15 +225,15 @@ n AS (SELECT DISTINCT root, node FROM w), v AS (SELECT DISTINCT n.root, k.messag
 SELECT n.root AS summary_id, count(*) - 1 AS n_sources, any_value(first_seq) AS first_seq, any_value(last_seq) AS last_seq, any_value(message_count) AS message_count, any_value(covered_tokens) AS covered_tokens
 FROM n LEFT JOIN (SELECT root, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS message_count, sum(token_count)::BIGINT AS covered_tokens FROM v JOIN m USING (message_id) GROUP BY 1) q ON q.root = n.root GROUP BY 1""")
 def reachable_sources(spark, sf_dir):
-    return dag.reachable(kept(spark, sf_dir), 3)
+    return dag.reachable(kept(spark, sf_dir))
 
 
 @query("derived_subtree", f"""{STORE},
 u AS (SELECT summary_id AS root, summary_id AS node, 0::BIGINT AS level, '' AS path FROM s WHERE kind = 'leaf'
-  UNION ALL SELECT u.root, e.derived_id, u.level + 1, u.path || '.' || lpad(e.ordinal::VARCHAR, 4, '0') FROM u JOIN e ON e.source_id = u.node)
+  UNION ALL SELECT u.root, e.derived_id, u.level + 1, u.path || '.' || format('{{:04d}}', e.ordinal) FROM u JOIN e ON e.source_id = u.node)
 SELECT root, node, level, path FROM u QUALIFY row_number() OVER (PARTITION BY root, node ORDER BY level, path) = 1""")
 def derived_subtree(spark, sf_dir):
-    return dag.derived_subtree(kept(spark, sf_dir), 3)
+    return dag.derived_subtree(kept(spark, sf_dir))
 
 
 @query("expand_summaries", f"""{WALK},
@@ -242,7 +242,7 @@ i AS (SELECT w.root, w.path, w.node, NULL::BIGINT AS message_id, s.token_count F
 SELECT root, place, node, message_id, token_count, cum FROM (SELECT *, sum(token_count) OVER (PARTITION BY root ORDER BY path ROWS UNBOUNDED PRECEDING)::BIGINT AS cum, row_number() OVER (PARTITION BY root ORDER BY path) AS place FROM i) WHERE cum <= 300""")
 def expand_summaries(spark, sf_dir):
     s = kept(spark, sf_dir)
-    return dag.expand(s, s.summaries, 300, max_depth=3)
+    return dag.expand(s, s.summaries, 300)
 
 
 @query("summary_sources", f"{STORE} SELECT derived_id, source_id, ordinal, s.kind, s.depth, s.token_count, s.conversation_id FROM e JOIN s ON s.summary_id = source_id JOIN s d ON d.summary_id = derived_id AND d.conversation_id = s.conversation_id")
@@ -270,12 +270,12 @@ def describe_summaries(spark, sf_dir):
 @query("depth_backfill", f"{WALK} SELECT root AS summary_id, CASE WHEN any_value(s.kind) = 'leaf' THEN 0 ELSE max(level) END::BIGINT AS depth FROM w JOIN s ON s.summary_id = root GROUP BY 1")
 def depth_backfill(spark, sf_dir):
     s = kept(spark, sf_dir)
-    return dag.backfill_depth(s.summaries, s.summary_edges, 3)
+    return dag.backfill_depth(s.summaries, s.summary_edges)
 
 
 @query("lineage_rollup", f"{STORE} SELECT summary_id, descendant_count, descendant_token_count, source_message_token_count, strftime(earliest_at, '%Y-%m-%d %H:%M:%S') AS earliest_at, strftime(latest_at, '%Y-%m-%d %H:%M:%S') AS latest_at FROM s")
 def lineage_rollup(spark, sf_dir):
-    return dag.rollup(kept(spark, sf_dir), 3).withColumns({c: format_seconds(F.col(c)) for c in ("earliest_at", "latest_at")})
+    return dag.rollup(kept(spark, sf_dir)).withColumns({c: format_seconds(F.col(c)) for c in ("earliest_at", "latest_at")})
 
 
 @query("previous_summary", f"{STORE} SELECT summary_id, lag(summary_id) OVER (PARTITION BY conversation_id, depth ORDER BY first_seq, summary_id) AS previous_id FROM s")

@@ -62,8 +62,15 @@ def test_tail_rules(spark):
 
 
 def test_chunks(spark):
-    df = spark.createDataFrame([([100, 100, 50, 300, 10],), ([],)], "t array<bigint>")
-    assert [r.c for r in df.select(compact.chunk_numbers(F.col("t"), 200).alias("c")).collect()] == [[0, 0, 1, 2, 3], []]
+    df = message_rows(spark, *((1, i, "assistant", "x", t) for i, t in enumerate([100, 100, 50, 300, 10, 1], 1)), (2, 1, "user", "y", 5))
+    assert rows(compact.leaf_chunks(df, 200, 1), "seq", "chunk") == [(1, 0), (2, 0), (3, 1), (4, 2), (5, 3)]
+
+
+def test_sweep_goes_on_until_one_is_left(spark):
+    store = compact.sweep(message_rows(spark, *((1, i, "assistant", f"text {i}", 200) for i in range(1, 34))), tail=1)
+    depths = {r.depth: r["count"] for r in store.summaries.groupBy("depth").count().collect()}
+    assert depths == {0: 32, 1: 16, 2: 8, 3: 4, 4: 2, 5: 1}
+    assert [r.item_type for r in compact.kept(store).context_items.orderBy("ordinal").collect()] == ["summary", "message"]
 
 
 def graph(spark, edges, leaves=(), tokens=5):
@@ -75,7 +82,12 @@ def graph(spark, edges, leaves=(), tokens=5):
 def test_cycle_ends(spark):
     s, e = graph(spark, [("a", "b"), ("b", "a"), ("a", "l")], ["l"])
     assert rows(dag.walk(e, s, 6).filter("root = 'a'"), "node", "level") == [("a", 0), ("b", 1), ("l", 1)]
-    assert rows(dag.backfill_depth(s, e, 6), "summary_id", "depth") == [("a", 1), ("b", 1), ("l", 0)]
+    assert rows(dag.backfill_depth(s, e), "summary_id", "depth") == [("a", 1), ("b", 1), ("l", 0)]
+
+
+def test_prior_context(spark):
+    df = spark.createDataFrame([(f"s{i}", 1, 0, i, c) for i, c in enumerate(["a", " ", "b", "c", "", "d"])], "summary_id string, conversation_id long, depth long, first_seq long, content string")
+    assert rows(dag.prior_context(df), "prior") == [("",), ("a",), ("a",), ("a\n\nb",), ("b\n\nc",), ("b\n\nc",)]
 
 
 def test_shared_node_counts_by_path(spark):
@@ -83,7 +95,7 @@ def test_shared_node_counts_by_path(spark):
     none = spark.createDataFrame([], "summary_id string, message_id long, ordinal long")
     m = message_rows(spark, (1, 1, "user", "a", 1))
     store = compact.Store(m, s, none, e, None)
-    r = {x.summary_id: x for x in dag.rollup(store, 4).collect()}
+    r = {x.summary_id: x for x in dag.rollup(store).collect()}
     assert r["r"].descendant_count == 4 and r["r"].descendant_token_count == 20
     assert {x.summary_id: x.n_sources for x in dag.reachable(store, 4).collect()}["r"] == 3
     assert rows(dag.expand(store, s.filter("summary_id = 'r'"), 12, False, 4), "place", "node") == [(1, "x"), (2, "l")]
