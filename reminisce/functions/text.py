@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 CJK = "一-鿿㐀-䶿\\x{20000}-\\x{2a6df}\\x{2a700}-\\x{2b73f}\\x{2b740}-\\x{2b81f}\\x{2b820}-\\x{2ceaf}\\x{2ceb0}-\\x{2ebef}　-〿぀-ヿ가-힯＀-￯"
 #: What search treats as a language without spaces.
 CJK_SEARCH = "⺀-鿿㐀-䶿豈-﫿가-힯぀-ゟ゠-ヿ"
+#: Fixed value: punctuation that search trims from the edges of terms.
 EDGE = "`'\"()[]{}<>.,:;!?*_+=|\\/-"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,9 +114,17 @@ def granted(df: DataFrame, grants: DataFrame, as_of: str) -> DataFrame:
 
 
 def prompt_time(time: Column, zone: str) -> Column:
-    """A UTC time in a zone, with the zone's abbreviation."""
+    """A UTC time in a zone, with the zone's abbreviation at its offset then; the zone's name where no abbreviation is known."""
     local = F.from_utc_timestamp(time, zone)
-    return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm "), F.lit("UTC" if zone == "UTC" else zone))
+    try:
+        info = ZoneInfo(zone)
+        days = [datetime(year, month, 15, tzinfo=info) for year in range(1972, 2038) for month in (1, 7)]
+        names = {int(x.utcoffset().total_seconds()): x.tzname() for x in days}
+    except (ZoneInfoNotFoundError, ValueError):
+        names = {}
+    offset = F.unix_seconds(local) - F.unix_seconds(time)
+    known = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), offset.cast("int")) if names else F.lit(None).cast("string")
+    return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm "), F.coalesce(known, F.lit(zone)))
 
 
 def body(content: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Identifiers that name secrets, and texts that look like them.
 SENSITIVE_NAME = r"(?i)(?:^|[^A-Za-z0-9])(?:ACCESS_?KEY|API_?KEY|AUTH|CREDENTIALS?|DEPLOY_?KEY|KEY|PASS(?:WORD)?|PRIVATE_?KEY|SECRET|TOKEN)(?=$|[^A-Za-z0-9])"
-SENSITIVE_VALUE = r"(?:-----BEGIN [A-Z ]*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9_]{10,}\b|\bgithub_pat_[A-Za-z0-9_]{20,}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}\b|\b(?:sk|rk|pk)[-_][A-Za-z0-9_-]{10,}\b)"
+SENSITIVE_VALUE = r"(?i)(?:-----BEGIN [A-Z ]*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9_]{10,}\b|\bgithub_pat_[A-Za-z0-9_]{20,}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}\b|\b(?:sk|rk|pk)-[A-Za-z0-9_-]{10,}\b|\b(?:sk|rk|pk)_[A-Za-z0-9_]{10,}\b)"
 IDENTIFIER = r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b"
 
 
@@ -31,13 +31,15 @@ def recall(messages: DataFrame, shown: DataFrame, prompt: str, per_identifier: i
     names = identifiers(prompt)
     if not names:
         return messages.select("conversation_id", F.lit("").alias("identifier"), "message_id", F.lit("").alias("snippet")).limit(0)
-    rows = messages.filter(F.col("role").isin("user", "assistant")).select("conversation_id", "message_id", "seq", "content", F.explode(F.array(*map(F.lit, names))).alias("identifier")).filter(F.contains("content", "identifier"))
+    # an identifier counts where no letter, digit or underscore stands beside it
+    alone = lambda text: F.regexp_like(text, F.concat(F.lit(r"(?:^|[^A-Za-z0-9_])"), F.col("identifier"), F.lit(r"(?:$|[^A-Za-z0-9_])")))
+    rows = messages.filter(F.col("role").isin("user", "assistant")).select("conversation_id", "message_id", "seq", "content", F.explode(F.array(*map(F.lit, names))).alias("identifier")).filter(F.contains("content", "identifier") & alone(F.col("content")))
     w = Window.partitionBy("conversation_id", "identifier").orderBy(F.desc("seq"))
     rows = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_identifier)
-    line = F.element_at(F.filter(F.split("content", "\n"), lambda x: F.contains(x, F.col("identifier"))), 1)
-    sentence = F.element_at(F.filter(F.split(line, r"(?<=[.!?])\s+"), lambda x: F.contains(x, F.col("identifier"))), 1)
+    line = F.element_at(F.filter(F.split("content", "\n"), alone), 1)
+    sentence = F.element_at(F.filter(F.split(line, r"(?<=[.!?])\s+"), alone), 1)
     rows = rows.withColumn("snippet", F.substring(F.trim(F.regexp_replace(sentence, r"\s+", " ")), 1, clip)).filter(~sensitive(F.col("snippet")))
-    covered = rows.select("conversation_id", "identifier").distinct().join(shown.select("conversation_id", F.col("content").alias("s")), "conversation_id").filter(F.contains("s", "identifier")).select("conversation_id", "identifier").distinct()
+    covered = rows.select("conversation_id", "identifier").distinct().join(shown.select("conversation_id", F.col("content").alias("s")), "conversation_id").filter(alone(F.col("s"))).select("conversation_id", "identifier").distinct()
     rows = rows.join(covered, ["conversation_id", "identifier"], "left_anti")
     order = Window.partitionBy("conversation_id").orderBy(F.desc("seq"), "identifier")
     return rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= limit).select("conversation_id", "identifier", "message_id", "snippet")

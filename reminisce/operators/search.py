@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +20,40 @@ TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 K1, B = 1.2, 0.75
 
 
+@cache
+def folding() -> tuple[str, str]:
+    """(letters, what each becomes): accented Latin, Greek and Cyrillic letters without their marks; marks beyond the second's end go."""
+    letters = {}
+    for i in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        base = unicodedata.normalize("NFD", chr(i).lower())
+        plain = "".join(c for c in base if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(i).lower():
+            letters[chr(i).lower()] = plain
+    marks = "".join(chr(i) for i in range(0x300, 0x370) if unicodedata.combining(chr(i)))
+    letters = {k: v for k, v in letters.items() if len(k) == 1}
+    return "".join(letters) + marks, "".join(letters.values())
+
+
 def fold(text: Column) -> Column:
-    """Lower case, accents of Latin letters removed."""
-    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without accents, as fold_text() has it."""
+    return F.translate(F.lower(text), *folding())
+
+
+def fold_text(text: str) -> str:
+    """Lower case without accents: the same table as for columns, so that query and text agree."""
+    letters, plain = folding()
+    return text.lower().translate({ord(c): plain[i] if i < len(plain) else None for i, c in enumerate(letters)})
+
+
+def compiles(df: DataFrame, pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it."""
+    try:
+        df.sparkSession.range(1).select(F.lit("").rlike(pattern)).collect()
+    except Exception as e:  # the engine's own error, whose class differs between kinds of sessions
+        if "REGEX" not in str(e).upper() and "PATTERN" not in str(e).upper():
+            raise
+        return False
+    return True
 
 
 def terms(text: Column) -> Column:
@@ -48,7 +82,7 @@ def cjk(df: DataFrame, query: str, limit: int | None = 50, size: int = 2, text:
 
 def regex(df: DataFrame, pattern: str, limit: int | None = 50, scanned: int | None = None, text: str = "content", time: str = "created_at", key: str = "message_id") -> DataFrame:
     """Rows that match a pattern that passes the guard, the newest first, with the match. scanned bounds how many of the newest rows are read."""
-    if safe_pattern(pattern) is None:
+    if safe_pattern(pattern) is None or not compiles(df, pattern):
         return df.limit(0).withColumn("snippet", F.lit(""))
     if scanned is not None:
         df = df.orderBy(F.desc(time), F.desc(key)).limit(scanned)
@@ -110,22 +144,25 @@ def search(df: DataFrame, query: str, mode: str = "full_text", sort: str = "rece
 
 
 def _fold_py(text: str) -> list[str]:
-    import re
-    import unicodedata
+    return re.findall(r"[^\W_]+", fold_text(text))
+
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return re.findall(r"[^\W_]+", plain)
+def _vowels(word: str) -> list[bool]:
+    """Of each letter whether it is a vowel; y is one after a consonant."""
+    out: list[bool] = []
+    for c in word:
+        out.append(c in "aeiou" or c == "y" and bool(out) and not out[-1])
+    return out
 
 
 def porter(word: str) -> str:
-    """The stem of an English word by Porter's published rules."""
-    if len(word) < 3 or not word.isascii():
+    """The stem of an English word by Porter's published rules; words of other letters or more than 64 stay as they are."""
+    if not 3 <= len(word) <= 64 or not word.isascii():
         return word
-    vowel = lambda i, w: w[i] in "aeiou" or w[i] == "y" and i > 0 and not vowel(i - 1, w)
-    measure = lambda w: sum(vowel(i, w) and not vowel(i + 1, w) for i in range(len(w) - 1))
-    has_vowel = lambda w: any(vowel(i, w) for i in range(len(w)))
-    double = lambda w: len(w) > 1 and w[-1] == w[-2] and not vowel(len(w) - 1, w)
-    cvc = lambda w: len(w) > 2 and not vowel(len(w) - 3, w) and vowel(len(w) - 2, w) and not vowel(len(w) - 1, w) and w[-1] not in "wxy"
+    measure = lambda w: sum(a and not b for a, b in pairwise(_vowels(w)))
+    has_vowel = lambda w: any(_vowels(w))
+    double = lambda w: len(w) > 1 and w[-1] == w[-2] and not _vowels(w)[-1]
+    cvc = lambda w: len(w) > 2 and _vowels(w)[-3:] == [False, True, False] and w[-1] not in "wxy"
 
     def swap(w: str, rules: list[tuple[str, str]], least: int) -> str:
         for end, new in rules:
@@ -190,18 +227,21 @@ def index_text(content: Column, prefixes: tuple[str, ...] = ("[File:", "[Tool Ou
     return F.when(trimmed == "", F.lit(None)).when(stored, F.array_join(F.concat(F.slice(lines, 1, 1), summary), "\n")).otherwise(content)
 
 
-def file_matches(files: DataFrame, pattern: str, prefix_bytes: int | None = None, per_file: int = 10, around: int = 80) -> DataFrame:
+def file_matches(files: DataFrame, pattern: str, prefix_bytes: int | None = None, per_file: int | None = 10, around: int = 80) -> DataFrame:
     """file_id, match, line, byte_offset, snippet: the first matches of each text file, as positions in UTF-8.
 
-    Whole texts are searched, or their first prefix_bytes. per_file is a limit of the report.
+    Whole texts are searched, or their first prefix_bytes. per_file is a limit of the report;
+    None gives every match.
     """
     schema = "file_id string, place long, match string, line long, byte_offset long, snippet string"
+    try:
+        re.compile(pattern)
+    except re.error:
+        return files.sparkSession.createDataFrame([], schema)
     if safe_pattern(pattern) is None:
         return files.sparkSession.createDataFrame([], schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         compiled = re.compile(pattern)
         for batch in batches:
             out = []
@@ -210,7 +250,7 @@ def file_matches(files: DataFrame, pattern: str, prefix_bytes: int | None = None
                 if prefix_bytes is not None:
                     text = text.encode()[:prefix_bytes].decode("utf-8", "ignore")
                 for k, m in enumerate(compiled.finditer(text)):
-                    if k >= per_file:
+                    if per_file is not None and k >= per_file:
                         break
                     a, b = max(0, m.start() - around), min(len(text), m.end() + around)
                     out.append((file_id, k, m[0], text.count("\n", 0, m.start()) + 1, len(text[: m.start()].encode()), ("..." if a else "") + text[a:b] + ("..." if b < len(text) else "")))

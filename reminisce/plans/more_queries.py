@@ -70,17 +70,16 @@ def display_content(spark, sf_dir):
     return parts.display_content(m.withColumn("content", F.when(F.col("seq") % 2 == 1, F.col("content")).otherwise(" ")), p)
 
 
-@query("page_exploration", "SELECT page_id, regexp_extract(html, '<([A-Za-z0-9_:-]+)(?:\\s|>)', 1) AS root FROM pages")
+@query("page_exploration", "SELECT page_id, regexp_extract(html, '<([\\pL_][^\\s<>/]*)', 1) AS root FROM pages")
 def page_exploration(spark, sf_dir):
     p = tables.table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.lit("x.xml").alias("file_name"), F.lit(None).cast("string").alias("mime_type"), F.col("html").alias("content"))
-    return explore.explore(p).select(F.col("file_id").alias("page_id"), F.regexp_extract("summary", r"Root element: (.*)\.\n", 1).alias("root"))
+    return explore.explore(p).select(F.col("file_id").alias("page_id"), F.element_at("names", 1).alias("root"))
 
 
-@query("text_exploration", "SELECT doc_id, length(text) AS characters, len(string_split(text, chr(10))) AS lines FROM documents")
+@query("text_exploration", "SELECT doc_id, length(text) AS characters, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS words, len(string_split(text, chr(10))) AS lines FROM documents")
 def text_exploration(spark, sf_dir):
     s = explore.explore(tables.large_files(spark, sf_dir).withColumn("file_id", F.col("doc_id")))
-    number = lambda name: F.regexp_replace(F.regexp_extract("summary", rf"\n{name}: ([0-9,]+)\.", 1), ",", "").cast("long")
-    return s.select(F.col("file_id").alias("doc_id"), number("Characters").alias("characters"), number("Lines").alias("lines"))
+    return s.select(F.col("file_id").alias("doc_id"), "characters", "words", "lines")
 
 
 @query("file_stats", "SELECT count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes, max(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS most_lines FROM documents")
@@ -174,9 +173,9 @@ def duplicated_anywhere(spark, sf_dir):
 
 @query("prompt_recall", f"{M} SELECT conversation_id, 'RETRY_LIMIT' AS identifier, message_id, 'Note RETRY_LIMIT is ' || seq || '.' AS snippet FROM m WHERE role IN ('user', 'assistant') AND conversation_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) <= 4")
 def prompt_recall(spark, sf_dir):
-    m = messages(spark, sf_dir).withColumn("content", F.concat(F.lit("First line.\nIntro. Note RETRY_LIMIT is "), F.col("seq").cast("string"), F.lit(". And API_KEY here.\nLast.")))
+    m = messages(spark, sf_dir).withColumn("content", F.concat(F.lit("First line with RETRY_LIMITS and MY_RETRY_LIMIT.\nIntro. Note RETRY_LIMIT is "), F.col("seq").cast("string"), F.lit(". And API_KEY here.\nLast.")))
     shown = m.filter("conversation_id % 2 = 0")
-    return recall.recall(m, shown, "what are RETRY_LIMIT and MY_API_KEY")
+    return recall.recall(m, shown, "what are RETRY_LIMIT and MY_API_KEY")  # RETRY_LIMITS and MY_RETRY_LIMIT are others
 
 
 @query("maintenance_due", f"{C} SELECT conversation_id FROM c WHERE active AND conversation_id % 3 <> 2")

@@ -8,6 +8,10 @@ from dataclasses import dataclass, field
 
 from reminisce.functions.text import CJK_SEARCH, EDGE
 
+#: Fixed value: words beside CJK segments keep the dots, slashes and hyphens inside them.
+LATIN = r"[a-zA-Z0-9][A-Za-z0-9_./-]*"
+#: Fixed value: the longest regular expression that is run.
+LONGEST = 500
 _CJK = re.compile(f"[{CJK_SEARCH}]")
 
 
@@ -31,19 +35,66 @@ def cjk_groups(query: str, size: int) -> tuple[list[list[str]], list[str]]:
     """(for each CJK segment its pieces of `size`, of which one must occur; other words, which all must)."""
     segments = re.findall(f"[{CJK_SEARCH}]+", query)
     groups = [[s] if len(s) <= size else list(dict.fromkeys(s[i : i + size] for i in range(len(s) - size + 1))) for s in segments]
-    return groups, [x.lower() for x in re.findall(r"[A-Za-z0-9_]+", _CJK.sub(" ", query))]
+    return groups, [x.lower() for x in re.findall(LATIN, _CJK.sub(" ", query))]
 
 
 def safe_pattern(pattern: str) -> str | None:
-    """The pattern, or None if it is too long, nests quantifiers, repeats a group of alternatives or doesn't compile."""
-    quantifier = r"(?:[+*?]|\{\d+(?:,\d*)?\})"
-    if len(pattern) > 500 or re.search(rf"{quantifier}\){quantifier}", pattern) or re.search(r"\((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*\)(?:[+*?]|\{\d)", pattern):
-        return None
-    try:
-        re.compile(pattern)
-    except re.error:
+    """The pattern, or None if it is too long, has unbalanced groups, repeats a group of alternatives, or one that ends in a repetition.
+
+    The pattern's groups are walked, so that escapes and classes are passed over; whether it compiles is for the engine
+    that runs it to say.
+    """
+    if len(pattern) > LONGEST:
         return None
-    return pattern
+    groups = [[False]]  # of each open group: whether it has alternatives
+    i, closed = 0, None  # closed: the group that has just ended
+    while i < len(pattern):
+        c = pattern[i]
+        if c in "*+?" or c == "{" and re.match(r"\{\d+(,\d*)?\}", pattern[i:]):
+            if closed and (closed[0] or closed[1]):
+                return None
+            i = pattern.index("}", i) + 1 if c == "{" else i + 1
+            closed = None
+            continue
+        closed = None
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            end = _class_end(pattern, i)
+            if end is None:
+                return None
+            i = end
+        elif c == "(":
+            groups.append([False])
+            if pattern[i + 1 : i + 2] == "?":
+                i += 1
+        elif c == ")":
+            if len(groups) == 1:
+                return None
+            last = pattern[i - 1]
+            closed = [groups[-1][0], last in "*+?" and pattern[i - 2 : i - 1] != "\\" or last == "}"]
+            inner = groups.pop()
+            groups[-1][0] = groups[-1][0] or inner[0]
+        elif c == "|":
+            groups[-1][0] = True
+        i += 1
+    return pattern if len(groups) == 1 else None
+
+
+def _class_end(pattern: str, i: int) -> int | None:
+    """Where the class that begins at i ends."""
+    j = i + 1
+    if pattern[j : j + 1] == "^":
+        j += 1
+    if pattern[j : j + 1] == "]":
+        j += 1
+    while j < len(pattern):
+        if pattern[j] == "\\":
+            j += 1
+        elif pattern[j] == "]":
+            return j
+        j += 1
+    return None
 
 
 #: Words that ask for a long time, and for several steps.
@@ -58,6 +109,11 @@ def broad_range(query: str | None) -> bool:
     return any(re.search(p, text, re.I) for p in BROAD) or (len(years) > 1 and max(years) - min(years) >= 2)
 
 
+#: An expansion's tokens a candidate, what messages, each further depth, a long time and several steps multiply them by,
+#: and the shares of the cap at which the risk is moderate and high.
+TOKENS, WITH_MESSAGES, A_DEPTH, LONG_TIME, SEVERAL_STEPS, MODERATE, HIGH = 220, 1.9, 0.65, 1.35, 1.25, 0.35, 0.7
+
+
 @dataclass
 class Route:
     action: str
@@ -74,9 +130,9 @@ def route(query: str | None, candidates: int, cap: float, depth: int | None = No
     candidates, cap = max(0, int(candidates)), max(1, int(cap)) if math.isfinite(cap) else 2**53 - 1
     broad = broad_range(query)
     several = depth >= 3 or candidates >= 5 or any(re.search(p, (query or "").strip(), re.I) for p in SEVERAL)
-    tokens = math.ceil(220 * (1.9 if include_messages else 1) * (1 + (depth - 1) * 0.65) * (1.35 if broad else 1) * (1.25 if several else 1) * candidates)
+    tokens = math.ceil(TOKENS * (WITH_MESSAGES if include_messages else 1) * (1 + (depth - 1) * A_DEPTH) * (LONG_TIME if broad else 1) * (SEVERAL_STEPS if several else 1) * candidates)
     ratio = tokens / cap
-    risk = "high" if ratio >= 0.7 else "moderate" if ratio >= 0.35 else "low"
+    risk = "high" if ratio >= HIGH else "moderate" if ratio >= MODERATE else "low"
     if not candidates:
         return Route("answer_directly", depth, tokens, ratio, risk, ["no candidates"])
     if probe and depth <= 2 and candidates <= 1 and risk == "low" and not broad and not several:

@@ -11,7 +11,7 @@ from reminisce.functions import text as X
 from reminisce.operators import assemble, ingest, listing, maintain, search, status, tail
 from reminisce.plans import search as terms
 from reminisce.plans.base import CONVERSATIONS, MESSAGES, STORE, est
-from reminisce.sources import tables, transcripts
+from reminisce.sources import explore, tables, transcripts
 from reminisce.sources.tables import conversations, messages
 from reminisce.streaming import ingest as streams
 
@@ -57,7 +57,7 @@ def regex_window_10000(spark, sf_dir):
     return search.regex(messages(spark, sf_dir), "and [a-z]+", None, scanned=10_000).select("message_id")
 
 
-_TERMS = "regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}\\p{Co}]+')"
+_TERMS = "regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}\\p{Co}]+')"
 
 
 def bm25_sql(words: list[str]) -> str:
@@ -84,12 +84,26 @@ def full_text_hybrid(spark, sf_dir):
     return out.orderBy("hybrid", F.desc("created_at"), F.desc("message_id")).limit(20).select("message_id", "hybrid")
 
 
+@query("full_text_accents", f"""{M}, z AS (SELECT message_id, content || CASE message_id % 3 WHEN 0 THEN ' Erdős’s naïve Łódź proof' WHEN 1 THEN ' ERDO' || chr(779) || 'S' ELSE '' END AS content FROM m),
+t AS (SELECT message_id, {_TERMS} AS w FROM z) SELECT message_id FROM t WHERE list_contains(w, 'erdos')""")
+def full_text_accents(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    m = m.withColumn("content", F.concat("content", F.when(F.col("message_id") % 3 == 0, " Erdős’s naïve Łódź proof").when(F.col("message_id") % 3 == 1, " ERDO\u030bS").otherwise("")))
+    return search.bm25(m, "Erdős").select("message_id")
+
+
 @query("full_text_phrase", f"{M}, w AS (SELECT message_id, {_TERMS} AS w FROM m) SELECT message_id FROM w WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0")
 def full_text_phrase(spark, sf_dir):
     return search.bm25(messages(spark, sf_dir), '"of the"').select("message_id")
 
 
-@query("full_text_stemmed")
+#: Words of the stem that the query asks for.
+_THINGS = "('thing', 'things', 'thinged', 'thinging')"
+
+
+@query("full_text_stemmed", f"""{M}, tf AS (SELECT message_id, len(w) AS n, len(list_filter(w, lambda z: z IN {_THINGS})) AS f FROM (SELECT *, {_TERMS} AS w FROM m)),
+df AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (f > 0) AS d FROM tf)
+SELECT message_id, round(- greatest(ln((docs - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), 9) AS rank FROM tf, df WHERE f > 0""")
 def full_text_stemmed(spark, sf_dir):
     return search.bm25(messages(spark, sf_dir), "things", stem=True).select("message_id", F.round("rank", 9).alias("rank"))
 
@@ -136,9 +150,10 @@ def file_search(spark, sf_dir):
     return search.file_matches(tables.large_files(spark, sf_dir), "Licensed").filter("place = 0").select("file_id", "line", "byte_offset")
 
 
-@query("file_exploration")
+@query("file_exploration", """WITH d AS (SELECT 'file_' || substr(md5(doc_id::VARCHAR), 1, 16) AS file_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l, string_split(text, chr(10)) AS a FROM documents)
+SELECT file_id, 'text' AS kind, length(text) AS characters, len(a) AS lines, len(list_filter(l, lambda x: regexp_matches(x, '^(?:#+ +|={2,} *)\\S'))) AS items, length(trim(regexp_replace(coalesce(l[1], ''), '[ \\t]+', ' ', 'g'), ' ')) > 160 AS clipped FROM d""")
 def file_exploration(spark, sf_dir):
-    return transcripts.explore(tables.large_files(spark, sf_dir))
+    return explore.explore(tables.large_files(spark, sf_dir)).select("file_id", "kind", "characters", "lines", "items", F.endswith("sample", F.lit("…")).alias("clipped"))
 
 
 @query("conversations", f"{C} SELECT conversation_id, session_id, session_key, active, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM c")

@@ -1,86 +1,83 @@
-"""What a stored file holds, in a few lines, by its kind: JSON, CSV, TSV, XML, YAML, code or text."""
+"""What a stored file holds, as columns: its kind, its size, what names stand in it and how it begins.
+
+An exploration never fails on what a text holds: a JSON text that can't be parsed is of kind json without names. Kinds
+come from the file's extension, else from its MIME type, else it is text.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Extensions of code.
-CODE = ("c", "cc", "cpp", "cs", "go", "h", "hpp", "java", "js", "jsx", "kt", "php", "py", "rb", "rs", "scala", "sh", "sql", "swift", "ts", "tsx")
-
-
-def _line(text: Column, limit: int) -> Column:
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("..."))).otherwise(flat)
-
-
-def _lines(content: Column) -> Column:
-    return F.split(content, r"\r?\n")
-
-
-def _number(n: Column) -> Column:
-    return F.format_number(n, 0)
+#: Kinds by extension.
+KINDS = {
+    "json": ("json",), "jsonl": ("jsonl", "ndjson"), "csv": ("csv",), "tsv": ("tsv", "tab"), "xml": ("xml", "svg", "html", "xhtml"), "yaml": ("yaml", "yml"),
+    "code": ("c", "cc", "cpp", "cs", "go", "h", "hpp", "java", "js", "jsx", "kt", "lua", "m", "mjs", "php", "pl", "ps1", "py", "r", "rb", "rs", "scala", "sh", "sql", "swift", "ts", "tsx"),
+}
+#: What a MIME type contains, in order of trial.
+MIMES = (("ndjson", "jsonl"), ("json", "json"), ("csv", "csv"), ("tab-separated", "tsv"), ("xml", "xml"), ("html", "xml"), ("yaml", "yaml"), ("javascript", "code"), ("x-python", "code"))
+#: Words that begin a definition, and those that begin the use of another file.
+DEFINES = ("class", "def", "enum", "fn", "func", "function", "interface", "module", "namespace", "object", "record", "struct", "trait", "type")
+USES = ("from", "import", "include", "require", "use", "using")
+NAMES, SAMPLE = 32, 160
 
 
 def kind_of(name: Column, mime: Column) -> Column:
-    """json, csv, tsv, xml, yaml, code or text, by extension and then by MIME type."""
-    ext, low = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1)), F.lower(F.trim(F.coalesce(mime, F.lit(""))))
-    out = F.when(ext.isin("json", "csv", "tsv", "xml"), ext).when(ext.isin("yaml", "yml"), "yaml").when(ext.isin(*CODE), "code")
-    return out.when(low.startswith("application/json"), "json").when(low.startswith("text/csv"), "csv").when(low.startswith("text/tab-separated-values"), "tsv").when(low.startswith("text/xml") | low.startswith("application/xml"), "xml").when(low.contains("yaml"), "yaml").otherwise("text")
+    """json, jsonl, csv, tsv, xml, yaml, code or text."""
+    extension = F.lower(F.element_at(F.split(F.coalesce(name, F.lit("")), r"\."), -1))
+    known = F.when(~F.coalesce(name, F.lit("")).contains("."), F.lit(None).cast("string"))
+    for kind, extensions in KINDS.items():
+        known = known.when(extension.isin(*extensions), kind)
+    low = F.lower(F.coalesce(mime, F.lit("")))
+    told = reduce(lambda c, m: c.when(low.contains(m[0]), m[1]), MIMES[1:], F.when(low.contains(MIMES[0][0]), MIMES[0][1]))
+    return F.coalesce(known, told, F.lit("text"))
 
 
-def delimited(content: Column, mark: str, name: str) -> Column:
-    rows = F.filter(F.transform(_lines(content), lambda x: F.trim(x)), lambda x: x != "")
-    columns = F.filter(F.transform(F.split(F.get(rows, F.lit(0)), mark), lambda x: F.trim(x)), lambda x: x != "")
-    body = F.concat(F.lit(f"Structured summary ({name}):\nRows: "), _number(F.greatest(F.lit(0), F.size(rows) - 1)), F.lit(".\nColumns ("), F.size(columns).cast("string"), F.lit("): "), F.when(F.size(columns) > 0, F.array_join(columns, ", ")).otherwise("(none detected)"), F.lit(".\nFirst row sample: "), F.coalesce(_line(F.get(rows, F.lit(1)), 180), F.lit("(no data rows)")), F.lit("."))
-    return F.when(F.size(rows) == 0, f"Structured summary ({name}): no rows found.").otherwise(body)
-
-
-def yaml(content: Column) -> Column:
-    keys = F.array_distinct(F.filter(F.transform(_lines(content), lambda x: F.regexp_extract(x, r"^([A-Za-z0-9_.-]+):\s*(?:#.*)?$", 1)), lambda x: x != ""))
-    return F.concat(F.lit("Structured summary (YAML):\nTop-level keys ("), F.size(keys).cast("string"), F.lit("): "), F.when(F.size(keys) > 0, F.array_join(F.slice(keys, 1, 30), ", ")).otherwise("(none detected)"), F.lit("."))
-
-
-def xml(content: Column) -> Column:
-    tags = F.regexp_extract_all(content, F.lit(r"<([A-Za-z0-9_:-]+)(?:\s|>)"), F.lit(1))
-    root = F.coalesce(F.get(tags, F.lit(0)), F.lit("unknown"))
-    others = F.array_distinct(F.slice(F.filter(tags, lambda t: t != root), 1, 30))
-    return F.concat(F.lit("Structured summary (XML):\nRoot element: "), root, F.lit(".\nChild elements seen: "), F.when(F.size(others) > 0, F.array_join(others, ", ")).otherwise("(none detected)"), F.lit("."))
-
-
-def json(content: Column) -> Column:
-    """The top level's kind and its keys, or its length."""
-    v = F.try_parse_json(content)
-    kind = F.lower(F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1))
-    keys = F.json_object_keys(content)
-    shape = F.when(kind == "object", F.concat(F.lit("object(keys="), F.size(keys).cast("string"), F.when(F.size(keys) > 0, F.concat(F.lit(": "), F.array_join(F.slice(keys, 1, 10), ", "))).otherwise(""), F.lit(")"))).when(kind == "array", F.concat(F.lit("array(len="), F.json_array_length(content).cast("string"), F.lit(")"))).otherwise(F.when(kind.isin("bigint", "double", "decimal"), "number").otherwise(kind))
-    top = F.when(kind.isin("bigint", "double", "decimal"), "number").otherwise(kind)
-    return F.when(v.isNull(), "Structured summary (JSON): failed to parse as valid JSON.").otherwise(F.concat(F.lit("Structured summary (JSON):\nTop-level type: "), top, F.lit(".\nShape: "), shape, F.lit(".")))
-
-
-def code(content: Column, name: Column) -> Column:
-    lines = _lines(content)
-    imports = F.array_distinct(F.slice(F.transform(F.filter(lines, lambda x: x.rlike(r"^\s*(import\s+|from\s+\S+\s+import\s+|const\s+\w+\s*=\s*require\()")), lambda x: _line(x, 180)), 1, 12))
-    heads = F.array_distinct(F.slice(F.transform(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x.rlike(r"^(export\s+)?(async\s+)?(function|class|interface|type|const\s+\w+\s*=\s*\(|def\s+\w+\(|struct\s+\w+)")), lambda x: _line(x, 200)), 1, 24))
-    listed = lambda a: F.when(F.size(a) > 0, F.array_join(a, " | ")).otherwise("none detected")
-    return F.concat(F.lit("Code exploration summary"), F.when(name.isNotNull(), F.concat(F.lit(" ("), name, F.lit(")"))).otherwise(""), F.lit(":\nLines: "), _number(F.size(lines)), F.lit(".\nImports/dependencies ("), F.size(imports).cast("string"), F.lit("): "), listed(imports), F.lit(".\nTop-level definitions ("), F.size(heads).cast("string"), F.lit("): "), listed(heads), F.lit("."))
+def _clip(text: Column) -> Column:
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) <= SAMPLE, flat).otherwise(F.concat(F.substring(flat, 1, SAMPLE - 1), F.lit("…")))
 
 
-def headers(content: Column, limit: int = 18) -> Column:
-    trimmed = F.filter(F.transform(_lines(content), lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & (x.rlike(r"^#{1,6}\s+") | x.rlike(r"^[A-Z0-9][A-Z0-9\s:_-]{6,}$")))
-    return F.array_distinct(F.slice(F.transform(trimmed, lambda x: _line(x, 160)), 1, limit))
+def _matches(lines: Column, pattern: str) -> Column:
+    """The first group of each line that the pattern matches, in order."""
+    return F.filter(F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
 
 
-def text(content: Column, name: Column) -> Column:
-    flat = F.trim(F.regexp_replace(content, r"\s+", " "))
-    words = F.when(flat == "", 0).otherwise(F.size(F.split(flat, " ")))
-    h, first, last = headers(content), _line(F.substring(content, 1, 500), 500), _line(F.substring(content, -500, 500), 500)
-    or_empty = lambda c: F.when(c == "", "(empty)").otherwise(c)
-    return F.concat(F.lit("Text exploration summary"), F.when(name.isNotNull(), F.concat(F.lit(" ("), name, F.lit(")"))).otherwise(""), F.lit(":\nCharacters: "), _number(F.length(content)), F.lit(".\nWords: "), _number(words), F.lit(".\nLines: "), _number(F.size(_lines(content))), F.lit(".\nDetected section headers: "), F.when(F.size(h) > 0, F.array_join(h, " | ")).otherwise("none detected"), F.lit(".\nOpening excerpt: "), or_empty(first), F.lit(".\nClosing excerpt: "), or_empty(last), F.lit("."))
+def _fields(line: Column, mark: str) -> Column:
+    return F.transform(F.split(line, mark, -1), lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
 
 
 def explore(files: DataFrame) -> DataFrame:
-    """file_id, kind, summary of files (file_id, file_name, mime_type, content)."""
-    kind, c, name = kind_of(F.col("file_name"), F.col("mime_type")), F.col("content"), F.col("file_name")
-    summary = F.when(kind == "json", json(c)).when(kind == "csv", delimited(c, ",", "CSV")).when(kind == "tsv", delimited(c, "\t", "TSV")).when(kind == "xml", xml(c)).when(kind == "yaml", yaml(c)).when(kind == "code", code(c, name)).otherwise(text(c, name))
-    return files.select("file_id", kind.alias("kind"), summary.alias("summary"))
+    """file_id, kind, characters, words, lines, items, names and sample of files (file_id, file_name, mime_type, content).
+
+    items and names are of what the kind has: keys or elements of JSON, rows and columns of tables, tags of XML (the root
+    first), keys of YAML, definitions of code, headings of text. uses are a code's imported lines. names holds each once and
+    NAMES at most, as a report does; items counts all. sample is the first line that says something. A null content is empty.
+    """
+    c, kind = F.coalesce(F.col("content"), F.lit("")), kind_of(F.col("file_name"), F.col("mime_type"))
+    some = files.select("file_id", kind.alias("kind"), c.alias("c")).withColumn("all", F.split("c", "\n")).withColumn("lines", F.filter(F.transform("all", lambda x: F.rtrim(F.regexp_replace(x, "\r$", ""))), lambda x: F.trim(x) != ""))
+    first = F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit(""))
+    whole = F.try_parse_json("c")
+    keys = F.when(F.col("kind") == "jsonl", F.json_object_keys(first)).otherwise(F.when(whole.isNotNull(), F.json_object_keys("c")))
+    elements = F.when(whole.isNotNull(), F.coalesce(F.json_array_length("c"), F.size(F.json_object_keys("c"))))
+    tags = F.regexp_extract_all("c", F.lit(r"<([\p{L}_][^\s<>/]*)"), F.lit(1))
+    defined = _matches(F.col("lines"), rf"^(?:[a-z]+ +)*(?:{'|'.join(DEFINES)}) +\*?([\p{{L}}_$][\w$]*)")
+    heads = _matches(F.col("lines"), r"^(?:#+ +|={2,} *)(\S.*?)[ =#]*$")
+    table = F.col("kind").isin("csv", "tsv")
+    names = F.when(F.col("kind").isin("json", "jsonl"), keys).when(table, F.when(F.col("kind") == "tsv", _fields(first, "\t")).otherwise(_fields(first, ","))).when(F.col("kind") == "xml", tags).when(F.col("kind") == "yaml", _matches(F.col("lines"), r"^([^\s#:-][^:]*):(?:\s|$)")).when(F.col("kind") == "code", defined).otherwise(heads)
+    made = some.withColumn("found", F.coalesce(F.filter(names, lambda x: x != ""), F.array().cast("array<string>")))
+    items = F.when(F.col("kind") == "json", elements).when(F.col("kind") == "jsonl", F.size("lines")).when(table, F.greatest(F.lit(0), F.size("lines") - 1)).otherwise(F.size("found"))
+    uses = F.when(F.col("kind") == "code", F.transform(F.filter("lines", lambda x: x.rlike(rf"^(?:{'|'.join(USES)})\b")), _clip)).otherwise(F.array().cast("array<string>"))
+    return made.select(
+        "file_id", "kind", F.length("c").cast("long").alias("characters"), F.regexp_count("c", F.lit(r"\S+")).cast("long").alias("words"), F.size("all").cast("long").alias("lines"),
+        items.cast("long").alias("items"), F.slice(F.array_distinct("found"), 1, NAMES).alias("names"), F.slice(uses, 1, NAMES).alias("uses"), _clip(first).alias("sample"),
+    )
+
+
+def report(explored: DataFrame) -> DataFrame:
+    """file_id and report: what explore() found, in a line."""
+    noun = F.create_map(*(F.lit(x) for pair in (("json", "keys or elements"), ("jsonl", "records"), ("csv", "rows"), ("tsv", "rows"), ("xml", "tags"), ("yaml", "keys"), ("code", "definitions"), ("text", "headings")) for x in pair))
+    said = F.concat_ws(" ", F.col("kind"), F.format_string("file of %d characters in %d lines,", "characters", "lines"), F.coalesce(F.col("items").cast("string"), F.lit("unreadable")), F.element_at(noun, F.col("kind")), F.when(F.size("names") > 0, F.concat(F.lit("("), F.array_join("names", ", "), F.lit(")"))), F.concat(F.lit("- begins: "), F.col("sample")))
+    return explored.select("file_id", said.alias("report"))

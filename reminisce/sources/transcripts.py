@@ -96,19 +96,6 @@ def describe_files(files: DataFrame, limit: int = 32_768) -> DataFrame:
     return files.select("file_id", "mime_type", "byte_size", "line_count", utf8_head(F.col("content"), limit).alias("head"), (F.col("byte_size") > limit).alias("truncated"))
 
 
-def explore(files: DataFrame) -> DataFrame:
-    """file_id, summary: lines, words and the first and longest lines of a text file."""
-    lines = F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "")
-    longest = F.array_max(F.transform(lines, lambda x: F.length(x)))
-    return files.select("file_id", F.concat(F.lit("text, "), F.size(lines).cast("string"), F.lit(" lines, "), F.regexp_count("content", F.lit(r"\S+")).cast("string"), F.lit(" words, longest line "), longest.cast("string"), F.lit("; begins: "), F.substring(F.trim("content"), 1, 80)).alias("summary"))
-
-
-def explore_json(files: DataFrame) -> DataFrame:
-    """file_id, kind and keys of JSON texts; null for malformed ones."""
-    v = F.try_parse_json("content")
-    return files.select("file_id", F.schema_of_variant(v).alias("kind"), F.json_object_keys("content").alias("keys"))
-
-
 def file_blocks(content: Column) -> Column:
     """array<struct<name, body>> of <file name="..."> blocks in a text."""
     pattern = r"(?s)<file\s+name=\"([^\"]*)\"[^>]*>(.*?)</file>"

@@ -54,7 +54,9 @@ def test_search_parsing():
     assert terms.phrases('sub-agent "two words" x') == ["sub-agent", "two words", "x"]
     assert terms.like_terms('"Two Words", (foo) foo') == ["two words", "foo"]
     assert terms.cjk_groups("数据分析 Foo", 2) == ([["数据", "据分", "分析"]], ["foo"])
-    assert terms.safe_pattern("a+b") and not any(map(terms.safe_pattern, ["(a+)+", "(a|b)*", "(", "x" * 501]))
+    assert terms.safe_pattern("a+b") and not any(map(terms.safe_pattern, ["(a+)+", "(a|b)*", "((a|b)c)*", "(a{2})*", "(", ")", "[a", "x" * 501]))
+    assert all(map(terms.safe_pattern, [r"(a\|b)*", "([+*]b)+", r"\(a+\)+", "(?:ab)+", r"\p{L}+", "(?P<x>a)", "a{2}|b"]))
+    assert terms.cjk_groups("数据 v1.2/a-b", 2) == ([["数据"]], ["v1.2/a-b"])
     assert terms.has_cjk("ab 数") and not terms.has_cjk("é")
 
 
@@ -128,3 +130,16 @@ def test_marker_kinds(spark):
     texts = [m.directive + " x", m.fallback + " x", "x " + m.directive + " y" * 100, "x" * 200 + m.truncated + "9 tokens]", m.truncated + "9]" + "y" * 60, "x" * 100 + m.fallback, m.bare, "fine"]
     df = spark.createDataFrame([(t, "unknown") for t in texts], "t string, model string").select(maintain.marker_kind(F.col("t"), F.col("model")).alias("k"))
     assert [r.k for r in df.collect()] == ["fallback", "old", "fallback", "new", None, "fallback", "emergency", None]
+
+
+def test_long_words_and_accents(spark):
+    assert search.porter("a" + "y" * 3000) == "a" + "y" * 3000 and search.porter("syzygy") == "syzygi"
+    df = spark.createDataFrame([(1, "Paul Erdős wrote"), (2, "PAUL ERDO\u030bS"), (3, "Erdogan"), (4, "Ångström ÇA")], "message_id long, content string")
+    assert sorted(r.message_id for r in search.bm25(df, "Erdős").collect()) == [1, 2]
+    assert [r.message_id for r in search.bm25(df, "angstrom ca").collect()] == [4]
+
+
+def test_patterns_are_those_of_the_engine(spark):
+    df = spark.createDataFrame([(1, "é1", "2024-01-01")], "message_id long, content string, created_at string")
+    assert search.regex(df, r"\p{L}+\d", None).count() == 1
+    assert search.regex(df, "(?P<x>a)", None).count() == 0 and search.regex(df, "(?<x>é)", None).count() == 1

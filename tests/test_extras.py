@@ -26,6 +26,8 @@ def test_texts(spark):
     assert [x.b for x in r] == ["hello", "[not a time] x", "please continue"] and [x.v for x in r] == [False, False, True]
     t = spark.range(1).select(extras.prompt_time(F.lit("2024-07-01 12:00:00").cast("timestamp"), "UTC").alias("t")).first().t
     assert t == "2024-07-01 12:00 UTC"
+    zoned = spark.range(1).select(*(extras.prompt_time(F.lit(x).cast("timestamp"), "America/New_York").alias(n) for n, x in (("s", "2024-07-01 12:00:00"), ("w", "2024-01-01 12:00:00")))).first()
+    assert (zoned.s, zoned.w) in (("2024-07-01 08:00 EDT", "2024-01-01 07:00 EST"), ("2024-07-01 08:00 America/New_York", "2024-01-01 07:00 America/New_York"))
 
 
 def test_depth_chunk(spark):

@@ -49,16 +49,18 @@ def test_strip(spark):
 def test_explore(spark):
     files = [
         ("a.json", None, '{"b":1,"a":[1,2]}'), ("b.json", None, "{"), ("c.csv", None, "x, y\n1,2\n\n3,4"), ("d.txt", "text/tab-separated-values", "x\ty"), ("e.yml", None, "top:\n  in: 1\nother: # c\nx: 1"),
-        ("f.xml", None, "<r><a/><b ></b><a ></a></r>"), ("g.py", None, "import os\n\ndef f(x):\n    return x\nclass A:\n    pass"), ("h.txt", None, "# Head\nsome   words\nMORE HEADERS"), ("i.csv", None, " \n"), ("j.json", None, "[1,2,3]"),
+        ("f.xml", None, "<r><a/><b ></b><a ></a></r>"), ("g.py", None, "import os\n\ndef f(x):\n    return x\nclass A:\n    pass"), ("h.txt", None, "# Head\nsome   words\nMORE HEADERS"), ("i.csv", None, " \n"), ("j.json", None, "[1,2,3]"), ("k", "text/tab-separated-values", "x\ty\n1\t2"), ("g.m", None, "x = 1"), ("n", None, None),
     ]
     df = spark.createDataFrame([(n, n, m, c) for n, m, c in files], "file_id string, file_name string, mime_type string, content string")
-    got = {r.file_id: (r.kind, r.summary) for r in explore.explore(df).collect()}
-    assert got["a.json"][1].endswith("Top-level type: object.\nShape: object(keys=2: b, a).") and got["b.json"][1].endswith("failed to parse as valid JSON.") and "array(len=3)" in got["j.json"][1]
-    assert got["c.csv"][1] == "Structured summary (CSV):\nRows: 2.\nColumns (2): x, y.\nFirst row sample: 1,2." and got["i.csv"][1].endswith("no rows found.")
-    assert got["d.txt"] == ("tsv", "Structured summary (TSV):\nRows: 0.\nColumns (2): x, y.\nFirst row sample: (no data rows).")
-    assert got["e.yml"][1].endswith("Top-level keys (2): top, other.") and got["f.xml"][1].endswith("Root element: r.\nChild elements seen: b, a.")
-    assert "Imports/dependencies (1): import os." in got["g.py"][1] and "Top-level definitions (2): def f(x): | class A:." in got["g.py"][1]
-    assert "Words: 6." in got["h.txt"][1] and "Detected section headers: # Head | MORE HEADERS." in got["h.txt"][1]
+    got = {r.file_id: r for r in explore.explore(df).collect()}
+    assert (got["a.json"].items, got["a.json"].names) == (2, ["b", "a"]) and got["b.json"].items is None and got["j.json"].items == 3
+    assert (got["c.csv"].items, got["c.csv"].names, got["c.csv"].sample) == (2, ["x", "y"], "x, y") and got["i.csv"].items == 0
+    assert (got["d.txt"].kind, got["d.txt"].items) == ("tsv", 0) and got["k"].kind == "tsv" and got["k"].names == ["x", "y"]
+    assert got["e.yml"].names == ["top", "other", "x"] and got["f.xml"].names == ["r", "a", "b"] and got["f.xml"].items == 4
+    assert got["g.py"].uses == ["import os"] and got["g.py"].names == ["f", "A"] and got["g.m"].kind == "code"
+    assert got["h.txt"].words == 6 and got["h.txt"].names == ["Head"] and got["n"].lines == 1 and got["n"].characters == 0
+    said = {r.file_id: r.report for r in explore.report(explore.explore(df)).collect()}
+    assert said["c.csv"] == "csv file of 18 characters in 4 lines, 2 rows (x, y) - begins: x, y" and "unreadable" in said["b.json"]
 
 
 def test_tool_closure(spark):
