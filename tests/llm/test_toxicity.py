@@ -41,3 +41,26 @@ def test_edges(spark):
     assert out.count() == df.count() and out.filter("severity is null").count() == 0
     empty = T.fit(df.limit(0), labels.limit(0))
     assert T.grade(df.limit(0), empty).count() == 0
+
+
+def test_scores_against_plain_sums(spark):
+    """Each document's probabilities from the model's weights, counted anew; the expected grade is their sum."""
+    import math
+
+    from reminisce.llm.common import words
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = T.fit(docs, labels)
+    text = {(r.doc_id, r.text) for r in docs.collect()}
+    got = {(r.doc_id, r.text): r for r in T.grade(docs.select("doc_id", "text"), model).collect()}
+    for key in text:
+        found = {}
+        for w in words(key[1]):
+            for f in [w, *(w[:k] + "*" for k in T.STEMS if len(w) > k)]:
+                found[f] = found.get(f, 0) + 1
+        z = sum(model.weights.get(f, 0.0) * math.log1p(n) for f, n in found.items())
+        over = [1 / (1 + math.exp(-max(-500, min(500, z - t)))) for t in model.thresholds]
+        each = [a - b for a, b in zip([1.0, *over], [*over, 0.0], strict=True)]
+        r = got[key]
+        assert math.isclose(r.severity, sum(over), abs_tol=1e-9) and math.isclose(r.p_toxic, over[0], abs_tol=1e-9)
+        assert each[r.grade] >= max(each) - 1e-9 and r.toxic == int(over[0] >= 0.5)
