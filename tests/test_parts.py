@@ -60,7 +60,7 @@ def test_explore(spark):
     assert got["g.py"].uses == ["import os"] and got["g.py"].names == ["f", "A"] and got["g.m"].kind == "code"
     assert got["h.txt"].words == 6 and got["h.txt"].names == ["Head"] and got["n"].lines == 1 and got["n"].characters == 0
     said = {r.file_id: r.report for r in explore.report(explore.explore(df)).collect()}
-    assert said["c.csv"] == "csv file of 18 characters in 4 lines, 2 rows (x, y) - begins: x, y" and "unreadable" in said["b.json"]
+    assert said["c.csv"] == "csv file of 13 characters in 4 lines, 2 rows (x, y) - begins: x, y" and "unreadable" in said["b.json"]
 
 
 def test_tool_closure(spark):
