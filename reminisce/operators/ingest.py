@@ -86,18 +86,6 @@ def entry_tail(entries: DataFrame, stored: DataFrame, checkpoints: DataFrame | N
     return e.filter((F.col("index") > F.col("anchor")) & F.col("known").isNull()).select(*entries.columns, "anchor")
 
 
-def align(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """conversation_id, covered: the largest k such that the stored messages' last k equal the batch's first k.
-
-    Candidates are the places where the batch's first identity is stored; each needs one comparison of two slices.
-    """
-    ordered = lambda df: df.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "identity_hash"))), lambda x: x["identity_hash"]).alias("h"))
-    j = ordered(batch).withColumnRenamed("h", "b").join(ordered(stored).withColumnRenamed("h", "s"), "conversation_id")
-    sizes = F.sequence(F.lit(0), F.least(F.size("b"), F.size("s")))
-    fits = F.filter(sizes, lambda k: (k == 0) | (F.slice("b", 1, F.greatest(k, F.lit(1))) == F.slice("s", F.size("s") - F.greatest(k, F.lit(1)) + 1, F.greatest(k, F.lit(1)))))
-    return j.select("conversation_id", F.array_max(fits).cast("long").alias("covered"))
-
-
 def full_replay(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """conversation_id, replay: whether the batch begins with all that is stored."""
     ordered = lambda df: df.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "identity_hash"))), lambda x: x["identity_hash"]).alias("h"))

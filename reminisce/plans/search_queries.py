@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reminisce.functions import text as X
-from reminisce.operators import assemble, ingest, listing, maintain, search, status, tail
+from reminisce.operators import assemble, ingest, listing, maintain, reconcile, search, status, tail
 from reminisce.plans import search as terms
 from reminisce.plans.base import CONVERSATIONS, MESSAGES, STORE, est
 from reminisce.sources import explore, tables, transcripts
@@ -229,7 +229,7 @@ def covered_frontier(spark, sf_dir):
     m = messages(spark, sf_dir)
     # the batch begins at the third stored message, all distinct, and goes on with new ones
     batch = m.filter("seq > 2").select("conversation_id", "seq", "identity_hash").unionByName(m.filter("seq <= 2").select("conversation_id", (F.col("seq") + 100).alias("seq"), F.concat("identity_hash", F.lit("-new")).alias("identity_hash")))
-    return ingest.align(batch, m)
+    return reconcile.align(batch, m)
 
 
 @query("full_replay", f"{M} SELECT conversation_id, conversation_id % 2 = 0 AS replay FROM m GROUP BY 1")
