@@ -119,11 +119,11 @@ def merge_order(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     return c.select("session_key", "conversation_id", "target_id", "created_at").join(messages.select("conversation_id", "message_id", "seq"), "conversation_id").withColumn("new_seq", F.row_number().over(o).cast("long")).select("message_id", "target_id", "new_seq")
 
 
-def collectable(messages: DataFrame, links: DataFrame, items: DataFrame, role: str = "assistant", limit: int = 25) -> DataFrame:
-    """Messages of a role that a summary covers and the context no longer holds, the first `limit` of each conversation."""
+def collectable(messages: DataFrame, links: DataFrame, items: DataFrame, role: str = "assistant", limit: int | None = 25) -> DataFrame:
+    """Messages of a role that a summary covers and the context no longer holds, the first `limit` of each conversation; all with None."""
     w = Window.partitionBy("conversation_id").orderBy("seq")
     j = messages.filter(F.col("role") == role).join(links.select("message_id"), "message_id", "left_semi").join(items.filter("message_id is not null").select("message_id"), "message_id", "left_anti")
-    return j.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= limit).select("conversation_id", "message_id", "place", "token_count")
+    return j.withColumn("place", F.row_number().over(w).cast("long")).filter(F.lit(True) if limit is None else F.col("place") <= limit).select("conversation_id", "message_id", "place", "token_count")
 
 
 def retry_after(attempts: Column, base_seconds: int) -> Column:

@@ -97,6 +97,22 @@ def _class_end(pattern: str, i: int) -> int | None:
     return None
 
 
+def refusal(query: str, mode: str, since: str | None = None, before: str | None = None) -> str | None:
+    """Why a search isn't run, or None: an unknown mode, a blank query, an unsafe pattern, times out of order, or a pattern given as words."""
+    if mode not in ("full_text", "regex"):
+        return "mode is full_text or regex"
+    if not query.strip():
+        return "the query is blank"
+    if since and before and since >= before:
+        return "since must be earlier than before"
+    if mode == "regex":
+        return None if safe_pattern(query) else "the pattern is too long, unbalanced or repeats a repetition"
+    words = re.sub(r'"[^"]*"', " ", query)
+    looks = {"alternatives": r"\S\|\S", "a wildcard": r"\.[*+?]", "a class of characters": r"\[[^\]\s]+\]", "an escape": r"\\[bBdDsSwW]", "a repetition": r"\)[*+?{]|\w\{\d", "an anchor": r"(?:^|\s)\^\w|\w\$(?:\s|$)"}
+    found = next((name for name, p in looks.items() if re.search(p, words)), None)
+    return f"the words hold {found} of a regular expression: use the mode regex" if found else None
+
+
 #: Words that ask for a long time, and for several steps.
 BROAD = (r"\b(last|past)\s+(month|months|quarter|quarters|year|years)\b", r"\b(over|across|throughout)\s+(time|months|quarters|years)\b", r"\b(timeline|chronology|history|long[-\s]?term)\b", r"\bbetween\s+[^.]{0,40}\s+and\s+[^.]{0,40}\b")
 SEVERAL = (r"\b(root\s+cause|causal\s+chain|chain\s+of\s+events)\b", r"\b(multi[-\s]?hop|multi[-\s]?step|cross[-\s]?summary)\b", r"\bhow\s+did\b.+\blead\s+to\b")

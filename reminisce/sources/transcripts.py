@@ -16,11 +16,35 @@ def _entry(line: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """file, line_no (in a batch), value of every line."""
+    """file, line_no (in a batch), value of every line. Files are split, and their lines numbered by where they stand."""
     if stream:
         return spark.readStream.format("text").load(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return lines.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    place = Window.partitionBy("file").orderBy("_block", "_id")
+    return lines.select("file", (F.row_number().over(place) - 1).alias("line_no"), "value")
+
+
+def appended(lines: DataFrame, offsets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, status) of each file of lines from its byte offset (offsets: file, offset) on; lines end in one byte.
+
+    status has file, usable and blank. What was appended isn't usable, and gives no entries, if it begins with an array or
+    holds a malformed line: the file was written anew, or a line isn't finished.
+    """
+    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0))
+    new = lines.withColumn("_at", at).join(offsets, "file").filter(F.col("_at") >= F.col("offset"))
+    some = new.filter(F.trim("value") != "")
+    checked = some.groupBy("file").agg(F.ltrim(F.min_by("value", "line_no")).startswith("[").alias("array"), F.bool_or(F.try_parse_json("value").isNull()).alias("bad"))
+    status = offsets.select("file").join(checked, "file", "left").select("file", (~F.coalesce(F.col("array") | F.col("bad"), F.lit(False))).alias("usable"), F.col("bad").isNull().alias("blank"))
+    return parse(some.join(status.filter("usable").select("file"), "file", "left_semi").select(*lines.columns)), status
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """file, session_id, parent_session, created_at of each file's first line that isn't blank, if it is a session's header; null otherwise."""
+    first = lines.filter(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "line_no").alias("v"))
+    own = F.get_json_object("v", "$.type") == "session"
+    field = lambda name: F.when(own & (F.trim(F.get_json_object("v", f"$.{name}")) != ""), F.trim(F.get_json_object("v", f"$.{name}")))
+    return first.select("file", field("id").alias("session_id"), field("parentSession").alias("parent_session"), field("timestamp").alias("created_at"))
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -50,9 +74,9 @@ def live_path(entries: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("line_no")
         at = {r.id: i for i, r in enumerate(pdf.itertuples()) if isinstance(r.id, str)}
         parents = pdf["parent_id"].tolist()
-        i, way, whole = len(pdf) - 1, [], False
+        i, way, whole = len(pdf) - 1, set(), False
         while True:
-            way.append(i)
+            way.add(i)
             p = parents[i]
             if not isinstance(p, str):
                 whole = not isinstance(pdf["id"].iloc[i], str)
@@ -102,14 +126,7 @@ def file_blocks(content: Column) -> Column:
     return F.arrays_zip(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(content, F.lit(pattern), F.lit(2)).alias("body"))
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """A table as JSON lines."""
-    df.write.mode("append").json(path)
-
-
 def newest_entry(entries: DataFrame) -> DataFrame:
     """file, id and role of the last entry of each file."""
     w = Window.partitionBy("file").orderBy(F.desc("line_no"))
     return entries.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("file", "id", "role", "line_no")
-
-
