@@ -3,28 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"\w+")
-
+from reminisce.sources.scratch import keep
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. One of our own serves only where all run on one machine."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not (folder := context.getCheckpointDir()):
-        if not re.match(r"local($|\[)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="reminisce-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+_WORD = re.compile(r"\w+")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -53,9 +40,7 @@ def others(df: DataFrame, *names: str) -> list[str]:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: what follows doesn't recompute it when an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return keep(df, name)
 
 
 def words(text: str | None) -> list[str]:

@@ -10,6 +10,7 @@ so only the others are hashed.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,8 +93,12 @@ class Matcher:
                     if share >= self.least:
                         found.append((-share, a + int(inside[0]), a + int(inside[-1]) + k, own["names"][t]))
         kept: list[tuple[str, int, int, float]] = []
+        places: dict[str, list[tuple[int, int]]] = {}  # by name, in order and apart from each other
         for share, a, b, name in sorted(set(found)):
-            if not any(x[0] == name and a < x[2] and x[1] < b for x in kept):
+            own = places.setdefault(name, [])
+            i = bisect_left(own, (b, 0))
+            if not i or own[i - 1][1] <= a:
+                own.insert(i, (a, b))
                 kept.append((name, a, b, -share))
         return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
 
