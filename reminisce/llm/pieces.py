@@ -83,7 +83,7 @@ class Pieces:
 class Encoder:
     """Paths of words; the first that fit into `room` bytes are remembered, which holds the common ones, and `bound` pairs of pieces."""
 
-    def __init__(self, pieces: Pieces, room: int = 96_000_000, bound: int = 200_000):
+    def __init__(self, pieces: Pieces, room: int = 64_000_000, bound: int = 150_000):
         self.pieces, self.room, self.bound = pieces, room, bound
         sizes: dict[str, set[int]] = {}
         for x in pieces.ids:
