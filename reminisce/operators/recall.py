@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,8 +91,3 @@ def duplicated_anywhere(summaries: DataFrame) -> DataFrame:
     digested = summaries.withColumn("d", F.sha2("content", 256))
     shared = digested.groupBy("d").agg(F.min("conversation_id").alias("a"), F.max("conversation_id").alias("b")).filter("a <> b").select("d")
     return digested.join(shared, "d", "left_semi").select("summary_id")
-
-
-def excluded(rows: DataFrame, prefixes: list[str], key: str) -> DataFrame:
-    """rows whose key begins with none of the prefixes."""
-    return rows.filter(~reduce(lambda a, b: a | b, [F.coalesce(F.col(key).startswith(p), F.lit(False)) for p in prefixes], F.lit(False)))

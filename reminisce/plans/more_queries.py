@@ -171,6 +171,12 @@ def duplicated_anywhere(spark, sf_dir):
     return recall.duplicated_anywhere(store(spark, sf_dir).summaries)
 
 
+@query("duplicated_copies", f"{STORE}, z AS (SELECT summary_id, conversation_id, kind || token_count AS content FROM s) SELECT summary_id FROM z WHERE conversation_id % 2 = 1 AND content IN (SELECT content FROM z WHERE conversation_id % 2 = 0)")
+def duplicated_copies(spark, sf_dir):
+    s = store(spark, sf_dir).summaries.withColumn("content", F.concat("kind", F.col("token_count").cast("string")))
+    return recall.duplicated_elsewhere(s, s.filter("conversation_id % 2 = 0").select("conversation_id").distinct())
+
+
 @query("prompt_recall", f"{M} SELECT conversation_id, 'RETRY_LIMIT' AS identifier, message_id, 'Note RETRY_LIMIT is ' || seq || '.' AS snippet FROM m WHERE role IN ('user', 'assistant') AND conversation_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) <= 4")
 def prompt_recall(spark, sf_dir):
     m = messages(spark, sf_dir).withColumn("content", F.concat(F.lit("First line with RETRY_LIMITS and MY_RETRY_LIMIT.\nIntro. Note RETRY_LIMIT is "), F.col("seq").cast("string"), F.lit(". And API_KEY here.\nLast.")))

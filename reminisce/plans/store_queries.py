@@ -348,6 +348,12 @@ def eligible_depth(spark, sf_dir):
     return compact.eligible_depth(s.context_items, s.summaries, 2, 20)
 
 
+@query("eligible_leaves", f"{STORE} SELECT conversation_id, 0::BIGINT AS depth FROM d0 GROUP BY 1 HAVING count(*) >= 2 AND sum(token_count) >= 40")
+def eligible_leaves(spark, sf_dir):
+    s = compact.sweep(messages(spark, sf_dir), depths=0)
+    return compact.eligible_depth(s.context_items, s.summaries, 2, 40)
+
+
 @query("new_session_context", f"{CONTEXT} SELECT conversation_id, ordinal, summary_id FROM r WHERE depth >= 1")
 def new_session_context(spark, sf_dir):
     s = store(spark, sf_dir)
