@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reminisce.plans import deep_queries, extra_queries, more_queries, search_queries, state_queries, store_queries
+from reminisce.plans import deep_queries, evidence_queries, extra_queries, more_queries, search_queries, state_queries, store_queries
 
-_FAMILIES = (store_queries, search_queries, more_queries, extra_queries, deep_queries, state_queries)
+_FAMILIES = (store_queries, search_queries, more_queries, extra_queries, deep_queries, state_queries, evidence_queries)
 
 
 def queries() -> dict:
