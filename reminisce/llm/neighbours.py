@@ -80,12 +80,12 @@ class Index:
         rest = x - self.centroids[at]
         return np.sqrt(sum(((rest[:, a:b] - book[codes[:, j]]) ** 2).sum(1) for j, (a, b, book) in enumerate(zip(self.edges, self.edges[1:], self.books, strict=False))))
 
-    def estimate(self, query: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of a query to coded vectors of a list, from one table a part."""
-        rest = query - self.centroids[at]
-        total = np.zeros(len(codes))
+    def estimate(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
+        """Squared distances of each query to coded vectors of a list, from one table a part."""
+        rest = queries - self.centroids[at]
+        total = np.zeros((len(queries), len(codes)))
         for j, (a, b, book) in enumerate(zip(self.edges, self.edges[1:], self.books, strict=False)):
-            total += ((book - rest[a:b]) ** 2).sum(1)[codes[:, j]]
+            total += ((book - rest[:, None, a:b]) ** 2).sum(2)[:, codes[:, j]]
         return total
 
 
@@ -136,7 +136,7 @@ def build(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, list int, code binary, error double, embedding array<double>")
 
 
-def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, block_rows: int = 20_000, probes: int | None = None) -> DataFrame:
+def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, block_rows: int = 20_000, probes: int | None = None, query_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, nearest first, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows with another vec_id. Rows with a null
@@ -147,7 +147,8 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, bloc
     of its vectors. Equal vectors are estimated once, so copies never crowd out others: the k + 1 smallest ids of each
     distinct vector stay. Of each block of up to about block_rows, depth estimates are ranked exactly at first, and more until
     the rest can't be among the k nearest: within the lists that are probed the result is exact. probes is how many lists a
-    query reads at first, by default as many as the sample asks for. An empty table gives none.
+    query reads at first, by default as many as the sample asks for. A task holds a block and up to about query_rows of the
+    queries that read it, however many a list has of either. An empty table gives none.
     """
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     # a row a dimension
@@ -157,7 +158,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, bloc
         own = vectors.filter(F.size("embedding") == dim)
         index = train(own, dim, n, k=k)
         index.probes = min(probes or index.probes, len(index.centroids))
-        found.append(_found(own, index, every, k, depth, block_rows))
+        found.append(_found(own, index, every, k, depth, block_rows, query_rows))
     if not found:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
@@ -165,17 +166,21 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, depth: int = 64, bloc
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _found(vectors: DataFrame, index: Index, every: int, k: int, depth: int, block_rows: int) -> DataFrame:
+def _of_list(numbers: list[int]) -> Column:
+    """The number of a row's list."""
+    return F.element_at(F.array(*map(F.lit, numbers)), F.col("list") + 1)
+
+
+def _found(vectors: DataFrame, index: Index, every: int, k: int, depth: int, block_rows: int, query_rows: int) -> DataFrame:
     """query_id, vec_id, score: the k nearest of each query in each block that it reads."""
     table = cut(build(vectors, index), "ivf")
     sizes = {r["list"]: r["n"] for r in table.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list, max_lists at most
     blocks = [max(1, -(-sizes.get(i, 0) // block_rows)) for i in range(len(index.centroids))]
-    count = F.element_at(F.array(*map(F.lit, blocks)), F.col("list") + 1)
-    table = table.withColumn("block", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
+    table = table.withColumn("block", F.pmod(F.xxhash64("vec_id"), _of_list(blocks)).cast("int"))
     asked = table.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     begin, end, out = 0, index.probes, None
     while True:
-        found = _probed(table, asked, index, sizes, blocks, begin, end, k, depth)
+        found = _probed(table, asked, index, sizes, blocks, begin, end, k, depth, query_rows)
         if end >= len(index.centroids):
             return found if out is None else out.unionByName(found)
         found = cut(found, "ivf-found")
@@ -187,24 +192,26 @@ def _found(vectors: DataFrame, index: Index, every: int, k: int, depth: int, blo
         begin, end = end, min(2 * end, len(index.centroids))
 
 
-def _probed(table: DataFrame, asked: DataFrame, index: Index, sizes: dict[int, int], blocks: list[int], begin: int, end: int, k: int, depth: int) -> DataFrame:
+def _probed(table: DataFrame, asked: DataFrame, index: Index, sizes: dict[int, int], blocks: list[int], begin: int, end: int, k: int, depth: int, query_rows: int) -> DataFrame:
     """The k nearest of each query in each block of its lists begin..end-1, the nearest list being 0."""
+    some = np.zeros(len(index.centroids), bool)
+    some[list(sizes)] = True
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 probes = index.lists(_matrix(part.column("embedding"), index.dim), end)[:, begin:]
-                take, at, block = [], [], []
-                for i, lists in enumerate(probes.tolist()):
-                    for x in lists:
-                        if x in sizes:
-                            for b in range(blocks[x]):
-                                take.append(i)
-                                at.append(x)
-                                block.append(b)
-                yield pa.record_batch([part.column("vec_id").take(pa.array(take, pa.int64())), pa.array(at, pa.int32()), pa.array(block, pa.int32()), part.column("embedding").take(pa.array(take, pa.int64()))], ["query_id", "list", "block", "query"])
-
-    routed = asked.mapInArrow(route, "query_id long, list int, block int, query array<double>")
+                row, place = np.nonzero(some[probes])
+                take = pa.array(row)
+                yield pa.record_batch([part.column("vec_id").take(take), pa.array(probes[row, place].astype(np.int32)), part.column("embedding").take(take)], ["query_id", "list", "query"])
+
+    routed = cut(asked.mapInArrow(route, "query_id long, list int, query array<double>"), "ivf-routed")
+    asking = {r["list"]: r["n"] for r in routed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
+    parts = [-(-asking.get(i, 0) // query_rows) for i in range(len(blocks))]
+    each = lambda numbers: F.explode(F.sequence(F.lit(0), _of_list(numbers) - 1))
+    # every block meets every part of the queries of its list; lists that none asks for aren't read
+    candidates = table.filter(_of_list(parts) > 0).select("vec_id", "list", "code", "error", "embedding", "block", each(parts).alias("part"))
+    queries = routed.select("query_id", "list", "query", each(blocks).alias("block"), F.pmod(F.xxhash64("query_id"), _of_list(parts)).cast("int").alias("part"))
 
     def probe(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
@@ -214,33 +221,55 @@ def _probed(table: DataFrame, asked: DataFrame, index: Index, sizes: dict[int, i
             ids, x = ids[order], _matrix(candidates["embedding"], index.dim)[order]
             codes = np.frombuffer(b"".join(candidates["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             # distinct vectors by their bytes, the smallest ids of each
-            _, first, same = np.unique(x.view(f"V{x.shape[1] * 8}").ravel() if x.flags.c_contiguous else np.ascontiguousarray(x).view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+            _, first, same = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
             group = np.argsort(same, kind="stable")
             starts = np.r_[0, np.cumsum(np.bincount(same))]
-            at = key[0].as_py()
             vectors, codes, error = x[first], codes[first], candidates["error"].to_numpy()[order][first]
-            for q, query in zip(queries["query_id"].to_numpy(), _matrix(queries["query"], index.dim), strict=True):
-                near = np.sqrt(index.estimate(query, at, codes))
+            asking, points = queries["query_id"].to_numpy(), _matrix(queries["query"], index.dim)
+            once = len(np.unique(ids)) == len(ids)
+            size = int(np.clip(2_000_000 // len(vectors), 1, 256))
+            for i in range(0, len(asking), size):
+                own = points[i : i + size]
+                near = np.sqrt(index.estimate(own, key[0].as_py(), codes))
                 # the least that each distance can be, rounding allowed for; 0 where numbers overflow
-                least = np.nan_to_num(near - error - 1e-9 * (near + error) - 1e-12 * np.abs(query).max(), nan=0.0, posinf=0.0)
-                by = np.argsort(least, kind="stable")
-                d, m = np.empty(0), np.empty(0, np.int64)
-                done, step = 0, max(depth, 1)
-                while done < len(by) and (len(m) < k or least[by[done]] <= d[-1]):
-                    best = by[done : done + step]
-                    distance = exact(query, vectors[best])
-                    if len(m) == k:
-                        best, distance = best[distance <= d[-1]], distance[distance <= d[-1]]
-                    members = [group[starts[b] : min(starts[b] + k + 1, starts[b + 1])] for b in best]
-                    d, m = np.r_[d, np.repeat(distance, [len(y) for y in members])], np.concatenate([m, *(ids[y] for y in members)])
-                    d, m = d[m != q], m[m != q]
-                    o = np.lexsort((m, d))
-                    _, once = np.unique(m[o], return_index=True)  # a repeated id once, at its nearest
-                    o = o[np.sort(once)][:k]
-                    d, m = d[o], m[o]
-                    done, step = done + step, min(2 * step, 4096)
-                found.append((np.full(len(m), q), m, d))
+                least = np.nan_to_num(near - error - 1e-9 * (near + error) - 1e-12 * np.abs(own).max(1)[:, None], nan=0.0, posinf=0.0)
+                for q, query, low in zip(asking[i : i + size].tolist(), own, least, strict=True):
+                    m, d = nearest(q, query, low, vectors, ids, group, starts, once)
+                    found.append((np.full(len(m), q), m, d))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    return table.groupBy("list", "block").cogroup(routed.groupBy("list", "block")).applyInArrow(probe, "query_id long, vec_id long, score double")
+    def nearest(q: int, query: np.ndarray, least: np.ndarray, vectors: np.ndarray, ids: np.ndarray, group: np.ndarray, starts: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest ids and their distances: the lowest `depth` estimates first, then all that can still be among them.
+
+        once: whether every id is there once, so that k + 1 vectors hold k ids beside the query's own.
+        """
+        d, m = np.empty(0), np.empty(0, np.int64)
+        first = np.argpartition(least, depth - 1)[:depth] if 0 < depth < len(least) else np.arange(len(least))
+        rest: np.ndarray | None = None
+        while True:
+            distance = exact(query, vectors[first])
+            most = d[-1] if len(m) == k else np.inf
+            if once and len(first) > k + 1:
+                most = min(most, np.partition(distance, k)[k])
+            close = distance <= most
+            members = [group[starts[b] : min(starts[b] + k + 1, starts[b + 1])] for b in first[close]]
+            distance = distance[close]
+            d, m = np.r_[d, np.repeat(distance, [len(y) for y in members])], np.concatenate([m, *(ids[y] for y in members)])
+            d, m = d[m != q], m[m != q]
+            o = np.lexsort((m, d))
+            _, at = np.unique(m[o], return_index=True)  # a repeated id once, at its nearest
+            o = o[np.sort(at)][:k]
+            d, m = d[o], m[o]
+            bound = d[-1] if len(m) == k else np.inf
+            if rest is None:
+                left = least <= bound
+                left[first] = False
+                rest = np.flatnonzero(left)
+                rest = rest[np.argsort(least[rest], kind="stable")]
+            rest = rest[least[rest] <= bound]
+            if not len(rest):
+                return m, d
+            first, rest = rest[:4096], rest[4096:]
+
+    return candidates.groupBy("list", "block", "part").cogroup(queries.groupBy("list", "block", "part")).applyInArrow(probe, "query_id long, vec_id long, score double")
