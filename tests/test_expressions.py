@@ -117,6 +117,21 @@ def test_stemmed_rank_matches_sqlite(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_stemmed_words_match_sqlite(spark):
+    import sqlite3
+
+    docs = ["a thing", "things", "thinged", "thinging", "thinges", "thinger", "thingly", "thingy", "thin"]
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("create virtual table t using fts5(x, tokenize='porter unicode61')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text index in this build")
+    db.executemany("insert into t(rowid, x) values (?, ?)", list(enumerate(docs, 1)))
+    want = dict(db.execute("select rowid, rank from t where t match 'things'").fetchall())
+    got = {r.message_id: r["rank"] for r in search.bm25(spark.createDataFrame(list(enumerate(docs, 1)), "message_id long, content string"), "things", stem=True).collect()}
+    assert got.keys() == want.keys() == {1, 2, 3, 4, 5} and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.text(max_size=40), st.integers(1, 60))
 def test_utf8_head(spark, text, limit):
